@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import mixing, neardup, overlap, sampling, splitting, tokenizer
+from sievemill.llm import mixing, neardup, overlap, pairs, sampling, splitting, tokenizer
 from sievemill.llm.common import table
 
 
@@ -55,6 +55,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(reports, overlap.cross_split(reports))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "mappings"), "mapping_id", "finding_summary", "raw_model_output", order="mapped_at")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("pdf_path", "batch_index").distinct()
 
@@ -81,4 +85,4 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_classes, p2_groups, p3_found, p3_report, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_classes, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_shares)}
