@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import mixing, neardup, overlap, pairs, sampling, splitting, tokenizer
+from sievemill.llm import mixing, neardup, overlap, pairs, readlevel, sampling, splitting, tokenizer
 from sievemill.llm.common import table
 
 
@@ -84,5 +84,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights")))
 
 
+def _levels(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    model, _ = readlevel.train(table(spark, d, "level_examples"))
+    return readlevel.score(table(spark, d, "documents"), model, keep=keep)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d, ["doc_id"]).where("kind = 'prose' AND grade = 4").select("doc_id")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d, ["doc_id"])
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return readlevel.profile(_levels(spark, d, ["source"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_classes, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_classes, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
