@@ -35,13 +35,15 @@ from sievemill.llm.common import cut, latest, spread, words
 BANDS, ROWS = 34, 6
 BUCKET_CAP = 1024
 SKETCH_BITS = 112
+#: A set of class ids this small (8 MB) is broadcast.
+BROADCAST_IDS = 1_000_000
 SKETCH_Z = 3.3
 U = np.uint64
 
 
 @dataclass
 class NearDuplicates:
-    classes: DataFrame  # class_id, n_words, words (space-joined, sorted), side
+    classes: DataFrame  # class_id, side (bits of all its rows)
     members: DataFrame  # id, class_id, side
     links: DataFrame  # class_a < class_b, jaccard
 
@@ -94,19 +96,24 @@ def sketches(sig: np.ndarray, n_words: np.ndarray, side: np.ndarray) -> tuple[np
 
 
 def _signature_batches(bands: int, rows: int):
+    """A class is signed once per Arrow batch, with the sides of all its copies in it, so hot copies leave few rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
-                lists = batch.column("hashes")
+            ids, first, which = np.unique(big.column("class_id").to_numpy(), return_index=True, return_inverse=True)
+            sides = np.zeros(len(ids), np.int64)
+            np.bitwise_or.at(sides, which, big.column("side").to_numpy(zero_copy_only=False).astype(np.int64))
+            hashes = big.column("hashes").take(pa.array(first))
+            for at in range(0, len(ids), 2048):
+                lists = hashes.slice(at, 2048)
                 sizes = np.diff(lists.offsets.to_numpy())
                 values = lists.flatten().to_numpy(zero_copy_only=False).view(U)
                 sig = signatures(values, sizes, bands * rows)
                 keys = band_keys(sig, bands, rows)
-                low, high = sketches(sig, sizes, batch.column("side").to_numpy(zero_copy_only=False))
+                low, high = sketches(sig, sizes, sides[at : at + 2048])
                 offsets = pa.array(np.arange(0, bands * len(keys) + 1, bands, dtype=np.int32))
                 made = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), made], names=["class_id", "low", "high", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 2048]), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), made], names=["class_id", "low", "high", "keys"])
 
     return run
 
@@ -129,10 +136,13 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool):
         return keep & (unlike <= SKETCH_BITS * (half + SKETCH_Z * spread_of))
 
     def runs(rows: dict, out: list) -> None:
+        if len(rows["key"]) < 2:
+            return
+        # Rows are sorted by key and class: a class that was signed in several batches becomes one, with all its sides.
+        first = np.flatnonzero(np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])])
+        rows = {c: np.bitwise_or.reduceat(v, first) if c == "high" else v[first] for c, v in rows.items()}
         key = rows["key"]
         n = len(key)
-        if n < 2:
-            return
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[start, n])
         if cap is not None and (length > cap).any():
@@ -181,7 +191,7 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool):
 
 
 def _pairs(bucketed: DataFrame, threshold: float, cap: int | None, cross: bool) -> DataFrame:
-    return bucketed.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_batches(threshold, cap, cross), "a long, b long, large int")
+    return bucketed.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_pair_batches(threshold, cap, cross), "a long, b long, large int")
 
 
 def _refined(large: DataFrame, bucketed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -210,19 +220,32 @@ def find(
     known = listed.where("id IS NOT NULL").select("id", "at", "side", F.size("list").alias("n_words"), F.array_join("list", " ").alias("words")).withColumn("class_id", F.when((F.col("n_words") >= min_words) & F.col("side").isNotNull(), F.xxhash64("words")))
     # The latest delivery decides; it may be too short, which its null class_id says.
     members = latest(known.select("id", "at", "side", "class_id"), ["id"], ["at"], ["side", "class_id"]).where("class_id IS NOT NULL")
-    one = known.where("class_id IS NOT NULL").groupBy("class_id").agg(F.first("words").alias("words"), F.first("n_words").alias("n_words"), F.bit_or("side").alias("side"))
-    classes = one.select("class_id", "n_words", "words", "side")
-    hashed = classes.select("class_id", "side", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"), "words", "n_words").select("class_id", "side", "hashes")
+    in_class = known.where("class_id IS NOT NULL").select("class_id", "n_words", "words", "side")
+    hashed = in_class.select("class_id", "side", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"))
     keyed = hashed.mapInArrow(_signature_batches(bands, rows), "class_id long, low long, high long, keys array<long>")
     bucketed = keyed.select(F.explode("keys").alias("key"), "class_id", "low", "high")
     found = cut(_pairs(bucketed, threshold, cap, cross).dropDuplicates())
     large = found.where("large = 1")
     pairs = found.where("large = 0").select("a", "b")
     if not large.isEmpty():
-        more = _pairs(_refined(large, bucketed, classes, threshold), threshold, None, cross).select("a", "b")
-        pairs = pairs.unionByName(more).dropDuplicates()
-    links = verify(pairs, classes, threshold)
-    return NearDuplicates(classes, members, links)
+        held = _wanted(in_class, large.select(F.col("b").alias("class_id")))
+        more = _pairs(_refined(large, bucketed, held, threshold), threshold, None, cross).select("a", "b")
+        pairs = cut(pairs.unionByName(more).dropDuplicates())
+    ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
+    links = verify(pairs, _wanted(in_class, ends), threshold)
+    return NearDuplicates(in_class.groupBy("class_id").agg(F.bit_or("side").alias("side")), members, links)
+
+
+def _wanted(in_class: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row with its words for each class named in `ids`.
+
+    The ids are counted first: up to BROADCAST_IDS they filter the scan as a broadcast, so other texts are not moved;
+    beyond that the join shuffles both sides by class.
+    """
+    ids = ids.distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = in_class.join(F.broadcast(ids) if few else ids, "class_id", "left_semi")
+    return kept.groupBy("class_id").agg(F.first("words").alias("words"), F.first("n_words").alias("n_words"))
 
 
 def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
