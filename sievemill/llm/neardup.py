@@ -21,7 +21,6 @@ Null texts have no words and, like texts under `min_words`, are in no class. Of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +36,7 @@ BUCKET_CAP = 1024
 SKETCH_BITS = 112
 #: A set of class ids this small (8 MB) is broadcast.
 BROADCAST_IDS = 1_000_000
-SKETCH_Z = 3.3
+SKETCH_Z = 3.5
 U = np.uint64
 
 
@@ -118,7 +117,7 @@ def _signature_batches(bands: int, rows: int):
     return run
 
 
-def _pair_batches(threshold: float, cap: int | None, cross: bool):
+def _pair_batches(threshold: float, cap: int | None, cross: bool, bins: int):
     """Sorted (key, class_id, low, high) rows to candidate pairs (a, b, null) and members of large runs (key, id, 1)."""
 
     half = (1 - threshold) / 2
@@ -132,7 +131,8 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool):
             keep &= ((sa & U(1) > 0) & (sb & U(2) > 0)) | ((sa & U(2) > 0) & (sb & U(1) > 0))
         mask = U((1 << 48) - 1)
         unlike = np.bitwise_count(a["low"][i] ^ b["low"][j]).astype(int) + np.bitwise_count((a["high"][i] ^ b["high"][j]) & mask)
-        spread_of = np.sqrt(half * (1 - half) / SKETCH_BITS + threshold * (1 - threshold) / (4 * np.maximum(large, 1)))
+        # A set with fewer words than bins has nearly all of them in its signature, so bins bound the sampling error.
+        spread_of = np.sqrt(half * (1 - half) / SKETCH_BITS + threshold * (1 - threshold) / (4 * np.maximum(large, bins)))
         return keep & (unlike <= SKETCH_BITS * (half + SKETCH_Z * spread_of))
 
     def runs(rows: dict, out: list) -> None:
@@ -190,8 +190,8 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool):
     return run
 
 
-def _pairs(bucketed: DataFrame, threshold: float, cap: int | None, cross: bool) -> DataFrame:
-    return bucketed.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_pair_batches(threshold, cap, cross), "a long, b long, large int")
+def _pairs(bucketed: DataFrame, threshold: float, cap: int | None, cross: bool, bins: int) -> DataFrame:
+    return bucketed.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_pair_batches(threshold, cap, cross, bins), "a long, b long, large int")
 
 
 def _refined(large: DataFrame, bucketed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -224,12 +224,12 @@ def find(
     hashed = in_class.select("class_id", "side", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"))
     keyed = hashed.mapInArrow(_signature_batches(bands, rows), "class_id long, low long, high long, keys array<long>")
     bucketed = keyed.select(F.explode("keys").alias("key"), "class_id", "low", "high")
-    found = cut(_pairs(bucketed, threshold, cap, cross).dropDuplicates())
+    found = cut(_pairs(bucketed, threshold, cap, cross, bands * rows).dropDuplicates())
     large = found.where("large = 1")
     pairs = found.where("large = 0").select("a", "b")
     if not large.isEmpty():
         held = _wanted(in_class, large.select(F.col("b").alias("class_id")))
-        more = _pairs(_refined(large, bucketed, held, threshold), threshold, None, cross).select("a", "b")
+        more = _pairs(_refined(large, bucketed, held, threshold), threshold, None, cross, bands * rows).select("a", "b")
         pairs = cut(pairs.unionByName(more).dropDuplicates())
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
     links = verify(pairs, _wanted(in_class, ends), threshold)
