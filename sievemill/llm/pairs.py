@@ -132,7 +132,7 @@ def is_truncated(text: str, ends: dict[str, float]) -> bool:
     line = text.rsplit("\n", 1)[-1]
     prose = [w for w in _WORD.findall(TECHNIQUE.sub(" ", _CAPTION.sub("", line))) if not w.isdigit()]
     cjk = len(re.findall(r"[぀-ヿ一-鿿]", line))
-    if (len(prose) < 2 and cjk < 4) or text[-1] in "]}":
+    if (len(prose) < 2 and cjk < 4) or text[-1] in "]}" or re.search(r"[^\d\s][.!?。！？][\"'”’)]*$", text):
         return False
     return ends.get(shape(text[-12:])[-3:], 0.0) < END_MIN
 
@@ -175,13 +175,13 @@ def _count_ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     inside: Counter = Counter()
     last: Counter = Counter()
     for frame in frames:
-        for answer in frame.answer:
+        for answer in frame.answer[frame.answer.notna()]:
             s = shape(bare(answer))
             inside.update(s[i : i + 3] for i in range(len(s) - 2))
             if s:
                 last[s[-3:]] += 1
     keys = sorted(inside.keys() | last.keys())
-    yield pd.DataFrame({"gram": keys, "n": [inside[k] for k in keys], "n_end": [last[k] for k in keys]})
+    yield pd.DataFrame({"gram": pd.Series(keys, dtype=object), "n": pd.Series([inside[k] for k in keys], dtype="int64"), "n_end": pd.Series([last[k] for k in keys], dtype="int64")})
 
 
 def end_model(answers: DataFrame) -> dict[str, float]:
@@ -200,9 +200,8 @@ def defects(df: DataFrame, ident: str, prompt: str, answer: str, *, order: str |
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            kinds = [defect(p, a, ends) for p, a in zip(frame.prompt, frame.answer, strict=True)]
-            made = pd.DataFrame({"id": frame.id, "defect_type": kinds})
-            yield made[made.defect_type.notna()]
+            kinds = [(i, k) for i, p, a in zip(frame.id, *(frame[c].astype(object).where(frame[c].notna(), None) for c in ("prompt", "answer")), strict=True) if (k := defect(p, a, ends))]
+            yield pd.DataFrame({"id": pd.Series([i for i, _ in kinds], dtype=object), "defect_type": pd.Series([k for _, k in kinds], dtype=object)})
 
     kind = pairs.schema["id"].dataType.simpleString()
     return pairs.mapInPandas(run, f"id {kind}, defect_type string").withColumnRenamed("id", ident)

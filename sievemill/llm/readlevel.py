@@ -78,6 +78,9 @@ def kind_of(text: str | None) -> str:
     latin = _WORDS.findall(text.lower())
     if not alpha and not latin:
         return "empty"
+    unspaced = sum(1 for c in text if "\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3")
+    if plain < 0.4 * len(tokens) and unspaced < 0.2 * len(text):
+        return "listing"
     common = sum(1 for w in alpha if w.lower() in COMMON)
     if alpha and common < 0.12 * len(alpha):
         language, _, n = detect(text)
