@@ -7,6 +7,8 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+
 #: Our own training sentences per language.
 SAMPLES = {
     "en": "The service answers before any logon takes place and the attacker can read the data without a password. I would map this finding to the technique because the host may be under outside control. No sign of intrusion was found, but the exposure fits. Anyone who reaches the port gets access to the files that were stored on this server. It shows that the weakness is reachable from the network, so users should update their software. Based on the summary this is an exposure only; which covers how it would be used. They have been told not to open what they did not ask for. Please check with your team when there is doubt about these events. The module does not verify the signature of its input. With this the intruder would run commands as if they were an administrator.",
@@ -58,22 +60,20 @@ def model() -> dict[str, tuple[dict[str, float], float]]:
 
 
 @lru_cache(maxsize=200_000)
-def _word_scores(word: str) -> tuple[tuple[float, ...], int]:
+def _word_scores(word: str) -> np.ndarray:
+    """Log-likelihood of a word per language, and how many n-grams it has."""
     own = grams(word)
-    made = tuple(sum(n * table.get(g, unseen) for g, n in own.items()) for table, unseen in model().values())
-    return made, sum(own.values())
+    return np.array([*(sum(n * table.get(g, unseen) for g, n in own.items()) for table, unseen in model().values()), sum(own.values())], float)
 
 
 def scores(text: str, drop: frozenset[str] = frozenset()) -> tuple[dict[str, float], int]:
     """Log-likelihood per language (equal priors) and the number of n-grams it rests on; words are scored once a worker."""
-    totals, count = [0.0] * len(SAMPLES), 0
-    for word in _LETTERS.findall(_CODED.sub(" ", text)):
-        low = word.lower()
-        if low not in drop:
-            made, n = _word_scores(low)
-            totals = [t + m for t, m in zip(totals, made, strict=True)]
-            count += n
-    return dict(zip(model(), totals, strict=True)), count
+    words = Counter(_LETTERS.findall(_CODED.sub(" ", text).lower()))
+    kept = [(w, n) for w, n in words.items() if w not in drop]
+    if not kept:
+        return dict.fromkeys(model(), 0.0), 0
+    totals = np.fromiter((n for _, n in kept), float, len(kept)) @ np.array([_word_scores(w) for w, _ in kept])
+    return dict(zip(model(), totals.tolist(), strict=False)), int(totals[-1])
 
 
 def detect(text: str, drop: frozenset[str] = frozenset()) -> tuple[str | None, dict[str, float], int]:

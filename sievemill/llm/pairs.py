@@ -195,7 +195,7 @@ def defects(df: DataFrame, ident: str, prompt: str, answer: str, *, order: str |
     """`ident`, `defect_type` of every defective pair."""
     at = F.col(order) if order else F.lit(None).cast("timestamp")
     plain = df.select(F.col(ident).alias("id"), at.alias("at"), F.col(prompt).alias("prompt"), F.col(answer).alias("answer"))
-    pairs = cut(latest(plain, ["id"], ["at"], ["prompt", "answer"]))
+    pairs = spread(cut(latest(plain, ["id"], ["at"], ["prompt", "answer"])))
     ends = end_model(pairs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,15 @@ _ALPHA = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
 _VOWELS = re.compile(r"[aeiouy]+")
 _NOMINAL = re.compile(r"(?:tion|sion|ment|ness|ity|ance|ence|ism|ship|ation)s?$")
-NAMES = [
-    "letters", "letters_sd", "letters_p90", "share_7", "share_10", "share_13", "syllables", "share_syllables_4", "sentence", "sentence_sd", "sentence_p90", "type_token", "common", "nominal", "commas", "marks", "subordinators", "connectives", "pronouns", "overlap", "adverbs",
-]
+SHARES = ["seven_letters", "ten_letters", "thirteen_letters", "four_syllables", "common", "nominal", "subordinators", "connectives", "pronouns", "adverbs"]
+NAMES = ["letters", "letters_sd", "letters_p90", "syllables", "sentence", "sentence_sd", "sentence_p90", "type_token", "commas", "marks", "overlap", *SHARES]
+
+
+@lru_cache(maxsize=200_000)
+def _traits(w: str) -> tuple:
+    """Letters, syllables and, as 0 or 1, what SHARES names."""
+    n, syllables = len(w), max(1, len(_VOWELS.findall(w)))
+    return n, syllables, n >= 7, n >= 10, n >= 13, syllables >= 4, w in COMMON, bool(_NOMINAL.search(w)), w in SUBORDINATORS, w in CONNECTIVES, w in PRONOUNS, w.endswith("ly")
 
 
 def features(text: str) -> np.ndarray:
@@ -51,22 +58,20 @@ def features(text: str) -> np.ndarray:
         return np.zeros(len(NAMES))
     n = len(words)
     seen = Counter(words)
-    kinds = np.array(list(seen.values()), float)
-    letters = np.array([len(w) for w in seen], float)
-    syllables = np.array([max(1, len(_VOWELS.findall(w))) for w in seen], float)
-    spread_letters = np.repeat(letters, kinds.astype(int))
+    counts = np.fromiter(seen.values(), float, len(seen))
+    traits = np.array([_traits(w) for w in seen], float)
+    letters = traits[:, 0]
+    order = np.argsort(letters)
+    mean = (letters * counts).sum() / n
+    deviation = np.sqrt(((letters - mean) ** 2 * counts).sum() / n)
+    p90 = letters[order][np.searchsorted(np.cumsum(counts[order]), 0.9 * n)]
+    shares = (traits[:, 2:] * counts[:, None]).sum(axis=0) / n
+    syllables = (traits[:, 1] * counts).sum() / n
     lengths = np.array([len(s) for s in sentences], float)
-
-    def share(test) -> float:
-        return sum(c for w, c in seen.items() if test(w)) / n
-
     content = [{w for w in s if len(w) > 4} for s in sentences]
     pairs = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:], strict=False)]
-    return np.array([
-        (letters * kinds).sum() / n, spread_letters.std(), np.percentile(spread_letters, 90), (kinds[letters >= 7]).sum() / n, (kinds[letters >= 10]).sum() / n, (kinds[letters >= 13]).sum() / n,
-        (syllables * kinds).sum() / n, (kinds[syllables >= 4]).sum() / n, lengths.mean(), lengths.std(), np.percentile(lengths, 90), len(seen) / n**0.75, share(COMMON.__contains__), share(lambda w: bool(_NOMINAL.search(w))),
-        text.count(",") / len(sentences), (text.count(";") + text.count(":") + text.count("(")) / len(sentences), share(SUBORDINATORS.__contains__), share(CONNECTIVES.__contains__), share(PRONOUNS.__contains__), float(np.mean(pairs)) if pairs else 0.0, share(lambda w: w.endswith("ly")),
-    ])
+    marks = (text.count(";") + text.count(":") + text.count("(")) / len(sentences)
+    return np.array([mean, deviation, p90, syllables, lengths.mean(), lengths.std(), np.percentile(lengths, 90), len(seen) / n**0.75, text.count(",") / len(sentences), marks, float(np.mean(pairs)) if pairs else 0.0, *shares])
 
 
 def kind_of(text: str | None) -> str:

@@ -71,8 +71,8 @@ def _draw(offsets: dict[int, float], start: float):
     return run
 
 
-def draw(records: DataFrame, ident: str, category: Column, targets: DataFrame, *, order: str | None = None, key: str = "technique_id", fraction: float = 0.1, seed: int = 11) -> Sample:
-    """Sample of about `fraction` of the records that have a category.
+def draw(records: DataFrame, ident: str, category: Column, targets: DataFrame, *, order: str | None = None, key: str = "technique_id", one_in: int = 10, seed: int = 11) -> Sample:
+    """Sample of about one in `one_in` of the records that have a category.
 
     `targets` holds `key`, `target_share` and `min_rows`; null shares and floors count as 0 and repeated keys once, by
     their greatest values. A record counts once, by its delivery latest in `order`; records with a null id or no
@@ -90,7 +90,7 @@ def draw(records: DataFrame, ident: str, category: Column, targets: DataFrame, *
     goals = spark.createDataFrame([(w.category, float(w.share), int(w.least)) for w in wanted], "category string, share double, least int")
     total = known.count()
     counted = {r.category: r.n for r in known.groupBy("category").agg(F.count("*").alias("n")).join(F.broadcast(goals), "category").select("category", "n").collect()}  # at most MAX_CATEGORIES
-    size = total * fraction
+    size = total / one_in
     shares = np.array([w.share for w in wanted], float)
     floors = np.array([w.least for w in wanted], float)
     available = np.array([counted.get(w.category, 0) for w in wanted], float)
