@@ -34,6 +34,9 @@ PORT = r"(?i)(\d+)/(?:TCP|UDP)"
 HOSTNAME = r"\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+(?:local|internal|corp|lan|windsor)\b"
 TECHNIQUE = r"^T\d{4}(\.\d{3})?$"
 BANNED_SUMMARY = [r"^\s*\[(critical|high|medium|low|info|informational)\]", r"\bmultiple vulnerabilities\b", r"\bmultiple security flaws\b", r"\bunspecified\b", r"\bchecks if a vulnerable version is present\b", r"\ba vulnerability exists in the system\b"]
+#: What may hold a full stop without ending a sentence: ids, version numbers, abbreviations.
+SUMMARY_NOISE = [r"CVE-\d{4}-\d{4,}", r"\b\d+\.\d+[\w.]*", r"(?i)\b(?:e\.g|i\.e|etc|vs|approx)\."]
+SUMMARY_WORDS, SUMMARY_ENDS = (5, 80), 2
 C2_EVIDENCE = r"(?i)\b(c2|command and control|command-and-control|beacon|callback|dead drop|drop resolver|dns tunnel|covert channel|ingress tool|steganograph|covert comms|exfiltration channel)\b"
 TACTIC_WORDS = {
     "initial-access": ["exploit", "phishing", "spearphish", "drive-by", "supply chain", "valid accounts", "default credentials", "public-facing", "vulnerable", "remote code execution", "rce", "injection", "overflow", "unauthenticated", "bypass", "end-of-life", "end of life", "eol", "unsupported", "outdated"],

@@ -157,10 +157,10 @@ def word_count(x: Column) -> Column:
 def valid_summary(x: Column | str) -> Column:
     """5 to 80 words, ends with a full stop, at most two sentence ends, no boilerplate; null is not valid."""
     text = clean_summary(x)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"CVE-\d{4}-\d{4,}", ""), r"\b\d+\.\d+[\w.]*", ""), r"(?i)\b(?:e\.g|i\.e|etc|vs|approx)\.", "")
+    bare = reduce(lambda t, noise: F.regexp_replace(t, noise, ""), fixed.SUMMARY_NOISE, text)
     ends = F.regexp_count(bare, F.lit(r"[.!?](?:\s|$)"))
     banned = reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in fixed.BANNED_SUMMARY])
-    return word_count(text).between(5, 80) & F.endswith(text, F.lit(".")) & (ends <= 2) & ~banned
+    return word_count(text).between(*fixed.SUMMARY_WORDS) & F.endswith(text, F.lit(".")) & (ends <= fixed.SUMMARY_ENDS) & ~banned
 
 
 def plain_summary(title: Column | str, cve_ids: Column | str, service_names: Column | str) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.functions import text
+from sievemill.functions import render, text
 from sievemill.functions.models import Embedder, Summarizer, embedded, summarized
 from sievemill.operators import correlate, gates, vectors
 from sievemill.operators.common import latest
@@ -36,7 +36,7 @@ def run(findings: DataFrame, mapped: DataFrame, registry: DataFrame, controls: D
     asked = told.join(mapped.select("finding_id", "mitre_ids"), "finding_id", "left")
     labelled = gates.validate(asked, "mitre_ids", "technical_summary", gates.registry_column(registry, "technique_id"))
     wanted = labelled.where((F.size("accepted") > 0) & (text.safe_str("technical_summary") != ""))
-    query = F.concat(F.lit("Security control to remediate: "), "technical_summary", F.lit(" MITRE ATT&CK techniques: "), F.array_join("accepted", ", "), F.lit("."))
+    query = render.query_text("technical_summary", "accepted")
     keyed = wanted.select("finding_id", F.xxhash64("finding_id").alias("finding_no"), F.col("accepted").alias("mitre_ids"), "technical_summary", query.alias("query"))
     near = vectors.top_k(embedded(keyed, "query", "vector", embedder), embedded(controls, "description", "vector", embedder), k, query_key="finding_no", item_key="control_no", query_vector="vector", item_vector="vector")
     pool = near.join(keyed.drop("query"), "finding_no").join(controls.select("control_no", "control_id", "description"), "control_no").select("finding_id", "control_id", "similarity", "mitre_ids", "technical_summary", "description")
