@@ -24,6 +24,8 @@ BLOCKS = 1024
 SHARDS = 32
 #: More sources than this in the weights table is an error: block totals of all of them come to the driver.
 MAX_SOURCES = 2000
+#: Block uses in the table that tells each block its shards; many sources or repeats get fewer blocks each, down to 16.
+MAX_USES = 500_000
 
 
 @dataclass
@@ -76,6 +78,7 @@ def mix(documents: DataFrame, weights: DataFrame, *, total_tokens: int | None =
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     names = {w.source for w in wanted}
+    blocks = max(16, min(blocks, MAX_USES // max(1, sum(max(1, int(w.repeats or 0)) for w in wanted))))
     listed = F.when(F.col("source").isin(sorted(names)), F.col("source")) if names else F.lit(None).cast("string")
     rows = _totals(sized.withColumn("source", listed), blocks, seed).collect()  # at most (sources + 1) x blocks rows
     corpus = sum(r.tokens for r in rows)
@@ -123,10 +126,10 @@ def mix(documents: DataFrame, weights: DataFrame, *, total_tokens: int | None =
 
     made = None
     if sample:
-        # At most sources x blocks x repeats rows of five numbers: the bound does not depend on the corpus.
+        # The number of uses depends on weights and blocks, not on the corpus; it is broadcast only within its bound.
         deal = spark.createDataFrame(plan, "source string, block int, copy_no int, shard int, only long")
         block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
-        placed = sized.withColumn("block", block).join(F.broadcast(deal), ["source", "block"])
+        placed = sized.withColumn("block", block).join(F.broadcast(deal) if len(plan) <= MAX_USES else deal, ["source", "block"])
         whole = placed.where("only IS NULL")
         # One block per source is used in part: its documents in hash order up to the rest of the quota.
         run = F.sum("n_tokens").over(_hash_order(seed))
