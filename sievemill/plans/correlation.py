@@ -49,7 +49,7 @@ def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     f"WITH {GRAPH}, {_POOL}, vend AS (SELECT control_id, min(vendor_name) AS vendor, bool_or(lower(vendor_name) LIKE '%00001%') AS hit FROM provides GROUP BY 1), "
-    "scored AS (SELECT finding_id, pool.control_id, similarity, similarity + 0.3 * (list_contains(mitre_ids, p_brand))::INTEGER / len(mitre_ids) + CASE WHEN coalesce(hit, false) THEN 0.2 ELSE 0 END + CASE WHEN vendor IS NOT NULL THEN 0.05 ELSE 0 END AS score, list_contains(mitre_ids, p_brand) AS mitre_matched, coalesce(hit, false) AS vendor_matched FROM pool LEFT JOIN vend USING (control_id)) "
+    "scored AS (SELECT finding_id, pool.control_id, similarity, similarity + coalesce(0.3 * (list_contains(mitre_ids, p_brand))::INTEGER / len(mitre_ids), 0) + CASE WHEN coalesce(hit, false) THEN 0.2 ELSE 0 END + CASE WHEN vendor IS NOT NULL THEN 0.05 ELSE 0 END AS score, coalesce(list_contains(mitre_ids, p_brand), false) AS mitre_matched, coalesce(hit, false) AS vendor_matched FROM pool LEFT JOIN vend USING (control_id)) "
     "SELECT finding_id, control_id, round(score, 4) AS score, mitre_matched, vendor_matched, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, control_id) AS rank FROM scored) WHERE rank <= 5"
 )
 def composite_top_n(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,8 @@ def composite_top_n(spark: SparkSession, d: str) -> DataFrame:
     pool = vectors.top_k(findings, controls, 100, query_key="finding_id", item_key="control_id", query_vector="query", item_vector="embedding")
     asked = findings.select("finding_id", F.explode(F.array(F.col("finding_id") + 1, F.col("finding_id") + 2)).alias("control_id")).join(parts, "control_id").groupBy("finding_id").agg(F.collect_set("p_brand").alias("mitre_ids"))
     provides, mitigates = graph_tables(spark, d)
-    best = correlate.composite_top_n(pool.drop("rank").join(asked, "finding_id"), mitigates, provides, allowed=["00001"])
+    wanted = pool.drop("rank").join(asked, "finding_id", "left").withColumn("mitre_ids", F.coalesce("mitre_ids", F.array().cast("array<string>")))
+    best = correlate.composite_top_n(wanted, mitigates, provides, allowed=["00001"])
     return best.select("finding_id", "control_id", F.round("score", 4).alias("score"), (F.size("matched_mitre") > 0).alias("mitre_matched"), "vendor_matched", "rank")
 
 
