@@ -195,15 +195,19 @@ def _pairs(bucketed: DataFrame, threshold: float, cap: int | None, cross: bool,
 
 
 def _refined(large: DataFrame, bucketed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Members of over-full buckets under sub-buckets by rare words; the order is the word's count in the bucket."""
-    held = large.select(F.col("a").alias("key"), F.col("b").alias("class_id")).distinct()
-    split = held.join(classes.select("class_id", "n_words", "words"), "class_id").select("key", "class_id", "n_words", F.explode(F.split("words", " ")).alias("word"))
-    often = split.groupBy("key", "word").agg(F.count("*").alias("often"))
+    """All members of over-full buckets, once each, under sub-buckets by their rare words.
+
+    The order is the word's count among these members. Two of them that are alike share one of their first words, so it
+    does not matter in which buckets they met, and each pair is compared per shared first word, not per bucket as well.
+    """
+    held = large.select(F.col("b").alias("class_id")).distinct()
+    split = held.join(classes.select("class_id", "n_words", "words"), "class_id").select("class_id", "n_words", F.explode(F.split("words", " ")).alias("word"))
+    often = split.groupBy("word").agg(F.count("*").alias("often"))
     prefix = (F.col("n_words") - F.ceil(F.lit(threshold) * F.col("n_words") - 1e-9) + 1).cast("int")
-    ranked = split.join(often, ["key", "word"]).groupBy("key", "class_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("ranked"))
-    sub = ranked.select("class_id", F.explode(F.slice("ranked", F.lit(1), prefix)).alias("r"), F.col("key").alias("bucket"))
-    sketch = bucketed.groupBy("class_id").agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    return sub.select(F.xxhash64("bucket", "r.word").alias("key"), "class_id").join(sketch, "class_id").select("key", "class_id", "low", "high")
+    ranked = split.join(often, "word").groupBy("class_id", "n_words").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("ranked"))  # the words of one text
+    sub = ranked.select("class_id", F.explode(F.slice("ranked", F.lit(1), prefix)).alias("r")).where("r.often > 1")
+    sketch = bucketed.join(held, "class_id", "left_semi").groupBy("class_id").agg(F.first("low").alias("low"), F.bit_or("high").alias("high"))
+    return sub.select(F.xxhash64("r.word").alias("key"), "class_id").join(sketch, "class_id").select("key", "class_id", "low", "high")
 
 
 def find(
