@@ -117,16 +117,22 @@ def with_copies(rows: DataFrame, extras: DataFrame) -> DataFrame:
 
 
 def partner(rows: DataFrame, seed: int = 0) -> DataFrame:
-    """id, partner_id: another row with a common tag, or null.
+    """id, partner_id: another row with a common tag; null only where no other row has one of the row's tags.
 
     Rows of a tag are put into 64 hash buckets and in hash order; each takes the next of its bucket. The buckets spread a
-    hot tag over many tasks. The last row of a bucket gets its partner from another of its tags, if at all.
+    hot tag over many tasks. The last row of a bucket takes the first row of the tag's next bucket that has rows, the last
+    bucket that of the first: at most 64 bucket ends per tag. Null ids and null tags link nothing.
     """
-    tagged = flat(rows).withColumn("_o", order_hash("id", seed))
+    tagged = flat(rows).where("id IS NOT NULL AND tag IS NOT NULL").withColumn("_o", order_hash("id", seed))
     salted = tagged.withColumn("_b", F.pmod(F.col("_o"), F.lit(64)))
     nxt = F.lead("id").over(Window.partitionBy("tag", "_b").orderBy("_o", "id"))
-    first = salted.withColumn("partner_id", nxt).where("partner_id IS NOT NULL")
-    one = keep_first(first, ["id"], [F.col("tag")]).select("id", "partner_id")
+    inside = salted.withColumn("partner_id", nxt).select("id", "tag", "partner_id")
+    place = F.struct("_o", "id")
+    ends = salted.groupBy("tag", "_b").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+    ring = Window.partitionBy("tag").orderBy("_b")
+    across = ends.select(F.col("tail.id").alias("id"), "tag", F.coalesce(F.lead("head.id").over(ring), F.first("head.id").over(ring)).alias("partner_id"))
+    found = inside.unionByName(across).where("partner_id <> id")
+    one = keep_first(found, ["id"], [F.col("tag")]).select("id", "partner_id")
     return rows.select("id").join(one, "id", "left")
 
 

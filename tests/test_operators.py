@@ -155,6 +155,15 @@ def test_rebalancing(spark, tagged):
     assert labels.shards(tagged, tagged.limit(2)).count() == tagged.count() + 8
 
 
+def test_every_row_with_a_common_tag_has_a_partner(spark):
+    rows = [(i, [f"pair{i // 2}"]) for i in range(40)] + [(100 + i, ["many"]) for i in range(300)] + [(500, ["alone"]), (501, None), (502, []), (503, ["alone2", "pair0"]), (504, [None]), (505, [None]), (None, ["alone"])]
+    tagged = spark.createDataFrame(rows, "id int, tags array<string>")
+    found = {r.id: r.partner_id for r in labels.partner(tagged).collect()}
+    tags = {i: set(t or []) - {None} for i, t in rows if i is not None}
+    assert {i for i, p in found.items() if p is None} == {500, 501, 502, 504, 505, None}
+    assert all(p != i and tags[p] & tags[i] for i, p in found.items() if p is not None)
+
+
 def test_metrics_by_hand(spark):
     rows = [(1, ["A", "B"], ["A"]), (2, ["A"], ["B"]), (3, ["C"], []), (4, [], ["A"]), (5, None, None)]
     df = spark.createDataFrame(rows, "id int, gold array<string>, pred array<string>")
