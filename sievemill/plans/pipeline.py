@@ -26,18 +26,28 @@ def live_findings(findings: DataFrame) -> DataFrame:
     return one.where((text.safe_str("title") != "") | (text.safe_str("description") != ""))
 
 
+def live_mappings(mapped: DataFrame) -> DataFrame:
+    """finding_id, mitre_ids (and mapping_id): the latest delivery of every mapping, or, of rows without ids, equal ones once."""
+    if {"mapping_id", "mapped_at"} <= set(mapped.columns):
+        one = latest(mapped.where("mapping_id IS NOT NULL"), ["mapping_id"], [F.col("mapped_at")])
+        return one.select("finding_id", "mitre_ids", "mapping_id")
+    return mapped.select("finding_id", "mitre_ids").distinct()
+
+
 def run(findings: DataFrame, mapped: DataFrame, registry: DataFrame, controls: DataFrame, provides: DataFrame, mitigates: DataFrame, *, embedder: Embedder, allowed: list[str], summarizer: Summarizer | None = None, k: int = 100, n: int = 5) -> Stages:
     """Summaries, validated labels and correlated controls of the findings.
 
-    `mapped` is finding_id, mitre_ids; `controls` is control_no (a number), control_id, description; `registry` is
-    technique_id. Findings and controls join through numbers, as vectors do not travel with texts.
+    `mapped` is finding_id, mitre_ids and, to tell repeated deliveries, mapping_id, mapped_at; `controls` is control_no (a number), control_id, description; `registry` is
+    technique_id. Findings and controls join through numbers, as vectors do not travel with texts. Each mapping passes the
+    gates by itself (`labelled` has a row per mapping); a finding is searched once, with all ids accepted for it.
     """
     told = summarized(live_findings(findings), summarizer).select("finding_id", "technical_summary", "summary_source")
-    asked = told.join(mapped.select("finding_id", "mitre_ids"), "finding_id", "left")
+    asked = told.join(live_mappings(mapped), "finding_id", "left")
     labelled = gates.validate(asked, "mitre_ids", "technical_summary", gates.registry_column(registry, "technique_id"))
     wanted = labelled.where((F.size("accepted") > 0) & (text.safe_str("technical_summary") != ""))
-    query = render.query_text("technical_summary", "accepted")
-    keyed = wanted.select("finding_id", F.xxhash64("finding_id").alias("finding_no"), F.col("accepted").alias("mitre_ids"), "technical_summary", query.alias("query"))
+    united = wanted.groupBy("finding_id", "technical_summary").agg(F.array_distinct(F.flatten(F.sort_array(F.collect_list("accepted")))).alias("mitre_ids"))  # after the gates, whose limit is per mapping
+    query = render.query_text("technical_summary", "mitre_ids")
+    keyed = united.select("finding_id", F.xxhash64("finding_id").alias("finding_no"), "mitre_ids", "technical_summary", query.alias("query"))
     near = vectors.top_k(embedded(keyed, "query", "vector", embedder), embedded(controls, "description", "vector", embedder), k, query_key="finding_no", item_key="control_no", query_vector="vector", item_vector="vector")
     pool = near.join(keyed.drop("query"), "finding_no").join(controls.select("control_no", "control_id", "description"), "control_no").select("finding_id", "control_id", "similarity", "mitre_ids", "technical_summary", "description")
     best = correlate.composite_top_n(pool, mitigates, provides, allowed=allowed, n=n)

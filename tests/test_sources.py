@@ -222,3 +222,26 @@ def test_models_and_pipeline(spark):
     ranked = stages.candidates.orderBy("reranked").collect()
     assert [r.control_id for r in ranked] == ["c1", "c2"] and {r.finding_id for r in ranked} == {"f1"}
     assert stages.labelled.where("finding_id = 'f2'").first().accepted == []
+
+
+def test_pipeline_with_several_mappings_of_a_finding(spark):
+    first, second = ["T1190", "T1003", "T1021", "T1046"], ["T1053", "T1110", "T1059", "T1190"]
+    late, early = "2024-01-02", "2024-01-01"
+    mapped = [(1, "f1", first, late), (1, "f1", ["T1203"], early), (1, "f1", first, late), (2, "f1", second, late), (3, "f2", ["T1190"], late), (None, "f1", ["T1203"], late)]
+    known = sorted({*first, *second, "T1203"})
+    stages = pipeline.run(
+        spark.createDataFrame([("f1", "Old service", "d", None, ["SSH"]), ("f2", "Weak key", "d", None, None)], "finding_id string, title string, description string, cve_ids array<string>, services array<string>").withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz")),
+        spark.createDataFrame(mapped, "mapping_id int, finding_id string, mitre_ids array<string>, mapped_at string").withColumn("mapped_at", F.col("mapped_at").cast("timestamp_ntz")),
+        spark.createDataFrame([(t,) for t in known], "technique_id string"),
+        spark.createDataFrame([(i, f"c{i}", f"Patch service {i}") for i in range(12)], "control_no long, control_id string, description string"),
+        spark.createDataFrame([("Acme", "c1")], "vendor_name string, control_id string"),
+        spark.createDataFrame([(f"c{i}", t) for i in range(12) for t in (first[1], second[0])], "control_id string, technique_id string"),
+        embedder=HashEmbedder(32), allowed=["acme"], k=6, n=5,
+    )
+    ranked = stages.candidates.collect()
+    for finding in ("f1", "f2"):
+        own = [r for r in ranked if r.finding_id == finding]
+        assert len(own) == len({r.control_id for r in own}) == 5 and sorted(r["rank"] for r in own) == [1, 2, 3, 4, 5]
+    assert all(set(r.mitre_ids) == {*first, *second} and len(r.mitre_ids) == 7 for r in ranked if r.finding_id == "f1")
+    assert all(r.matched_mitre == sorted([first[1], second[0]]) for r in ranked if r.finding_id == "f1")
+    assert sorted((r.finding_id, r.mapping_id) for r in stages.labelled.collect()) == [("f1", 1), ("f1", 2), ("f2", 3)]
