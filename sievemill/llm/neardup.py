@@ -6,14 +6,15 @@
    bin keeps its minimum; empty bins borrow from a hashed non-empty bin (optimal densification). Bits of the signature
    make a 112-bit sketch whose Hamming distance estimates the similarity.
 3. Buckets. Equal bands of a signature share a bucket. Buckets are sorted runs after one shuffle; inside a run members
-   are compared by sketch, so only likely pairs leave it. A run of more than `cap` members emits no pairs: its members
+   are compared by sketch, so only likely pairs leave it; the sketch is inexact, with a margin of SKETCH_Z standard
+   deviations. A run of more than `cap` members emits no pairs: its members
    go to sub-buckets by their rarest words. By the prefix-filter bound two sets of similarity t share a word among the
-   first n - ceil(t n) + 1 of any common order, so sub-buckets lose no pair of the run.
+   first n - ceil(t n) + 1 of any common order, and these pairs skip the sketch, so sub-buckets lose no pair of the run.
 4. Verification. Every candidate is confirmed by the exact Jaccard similarity of the two word sets.
 
 A star over each bucket alone would lose links between two leaves whose centre is unlike both; that is why runs are
 compared in full up to the cap and stars are kept to copies. Recall of the bands at similarity s is
-1 - (1 - s^rows)^bands: 0.986 at 0.7, 0.998 at 0.75, above 0.9999 at 0.8 with 34 bands of 6 rows.
+1 - (1 - s^rows)^bands: 0.9994 at 0.7, above 0.9999 at 0.75 with 60 bands of 6 rows.
 
 Null texts have no words and, like texts under `min_words`, are in no class. Of repeated ids the delivery latest by
 `order` counts. Classes are keyed by a 64-bit fingerprint of the word set. Extra columns are ignored.
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.common import cut, latest, spread, words
 
-BANDS, ROWS = 34, 6
+BANDS, ROWS = 60, 6
 BUCKET_CAP = 1024
 SKETCH_BITS = 112
 #: A set of class ids this small (8 MB) is broadcast.
 BROADCAST_IDS = 1_000_000
-SKETCH_Z = 3.5
+SKETCH_Z = 4.5
+#: Candidates held by a task before they are passed on.
+PAIRS_HELD = 1 << 20
 U = np.uint64
 
 
@@ -117,8 +120,11 @@ def _signature_batches(bands: int, rows: int):
     return run
 
 
-def _pair_batches(threshold: float, cap: int | None, cross: bool, bins: int):
-    """Sorted (key, class_id, low, high) rows to candidate pairs (a, b, null) and members of large runs (key, id, 1)."""
+def _pair_batches(threshold: float, cap: int | None, cross: bool, sketch: bool = True):
+    """Sorted (key, class_id, low, high) rows to candidate pairs (a, b, 0) and members of large runs (key, id, 1).
+
+    Without `sketch` every pair of a run goes on that sizes and sides allow.
+    """
 
     half = (1 - threshold) / 2
 
@@ -129,13 +135,15 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool, bins: int):
         if cross:
             sa, sb = a["high"][i] >> U(62), b["high"][j] >> U(62)
             keep &= ((sa & U(1) > 0) & (sb & U(2) > 0)) | ((sa & U(2) > 0) & (sb & U(1) > 0))
+        if not sketch:
+            return keep
         mask = U((1 << 48) - 1)
         unlike = np.bitwise_count(a["low"][i] ^ b["low"][j]).astype(int) + np.bitwise_count((a["high"][i] ^ b["high"][j]) & mask)
-        # A set with fewer words than bins has nearly all of them in its signature, so bins bound the sampling error.
-        spread_of = np.sqrt(half * (1 - half) / SKETCH_BITS + threshold * (1 - threshold) / (4 * np.maximum(large, bins)))
+        # Small sets fill few bins and their bits repeat: the words, not the bins, bound the sampling error.
+        spread_of = np.sqrt(half * (1 - half) / SKETCH_BITS + threshold * (1 - threshold) / (4 * np.maximum(large, 1)))
         return keep & (unlike <= SKETCH_BITS * (half + SKETCH_Z * spread_of))
 
-    def runs(rows: dict, out: list) -> None:
+    def runs(rows: dict) -> Iterator[tuple]:
         if len(rows["key"]) < 2:
             return
         # Rows are sorted by key and class: a class that was signed in several batches becomes one, with all its sides.
@@ -147,7 +155,7 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool, bins: int):
         length = np.diff(np.r_[start, n])
         if cap is not None and (length > cap).any():
             big = np.repeat(length > cap, length)
-            out.append((key[big].view(np.int64), rows["id"][big], np.ones(int(big.sum()), np.int64)))
+            yield key[big].view(np.int64), rows["id"][big], True
             rows = {c: v[~big] for c, v in rows.items()}
             key = rows["key"]
         live = np.arange(len(key))
@@ -160,22 +168,33 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool, bins: int):
             good = live[likely(rows, rows, live, live + step)]
             if len(good):
                 a, b = rows["id"][good], rows["id"][good + step]
-                out.append((np.minimum(a, b), np.maximum(a, b), None))
+                yield np.minimum(a, b), np.maximum(a, b), False
             step += 1
 
+    def made(a: np.ndarray, b: np.ndarray, large: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large, np.int32))], names=["a", "b", "large"])
+
+    def distinct(held: list) -> pa.RecordBatch:
+        a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*held, strict=True)]), axis=1)
+        return made(a, b, 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict | None = None
 
         def flush(rows: dict) -> Iterator[pa.RecordBatch]:
-            found: list = []
-            runs(rows, found)
-            for large in (False, True):
-                part = [x for x in found if (x[2] is not None) == large]
-                if part:
-                    a, b = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
-                    if not large:
-                        a, b = np.unique(np.stack([a, b]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), int(large), np.int32))], names=["a", "b", "large"])
+            held: list = []
+            n_held = 0
+            for a, b, large in runs(rows):
+                if large:
+                    yield made(a, b, 1)
+                    continue
+                held.append((a, b))
+                n_held += len(a)
+                if n_held >= PAIRS_HELD:
+                    yield distinct(held)
+                    held, n_held = [], 0
+            if held:
+                yield distinct(held)
 
         for batch in batches:
             rows = {"key": batch.column("key").to_numpy().view(U), "id": batch.column("class_id").to_numpy(), "low": batch.column("low").to_numpy().view(U), "high": batch.column("high").to_numpy().view(U)}
@@ -190,8 +209,8 @@ def _pair_batches(threshold: float, cap: int | None, cross: bool, bins: int):
     return run
 
 
-def _pairs(bucketed: DataFrame, threshold: float, cap: int | None, cross: bool, bins: int) -> DataFrame:
-    return bucketed.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_pair_batches(threshold, cap, cross, bins), "a long, b long, large int")
+def _pairs(bucketed: DataFrame, threshold: float, cap: int | None, cross: bool, sketch: bool = True) -> DataFrame:
+    return bucketed.repartition("key").sortWithinPartitions("key", "class_id").mapInArrow(_pair_batches(threshold, cap, cross, sketch), "a long, b long, large int")
 
 
 def _refined(large: DataFrame, bucketed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -228,12 +247,12 @@ def find(
     hashed = in_class.select("class_id", "side", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"))
     keyed = hashed.mapInArrow(_signature_batches(bands, rows), "class_id long, low long, high long, keys array<long>")
     bucketed = keyed.select(F.explode("keys").alias("key"), "class_id", "low", "high")
-    found = cut(_pairs(bucketed, threshold, cap, cross, bands * rows).dropDuplicates())
+    found = cut(_pairs(bucketed, threshold, cap, cross).dropDuplicates())
     large = found.where("large = 1")
     pairs = found.where("large = 0").select("a", "b")
     if not large.isEmpty():
         held = _wanted(in_class, large.select(F.col("b").alias("class_id")))
-        more = _pairs(_refined(large, bucketed, held, threshold), threshold, None, cross, bands * rows).select("a", "b")
+        more = _pairs(_refined(large, bucketed, held, threshold), threshold, None, cross, sketch=False).select("a", "b")
         pairs = cut(pairs.unionByName(more).dropDuplicates())
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
     links = verify(pairs, _wanted(in_class, ends), threshold)

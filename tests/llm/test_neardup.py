@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,29 @@ def test_no_reports(spark):
     df = spark.createDataFrame([], "report_id long, technical_summary string, split_name string, source_name string, mitre_ids array<string>, added_at timestamp_ntz")
     found = overlap.cross_split(df)
     assert overlap.id_pairs(found).collect() == [] and overlap.report(df, found).collect() == []
+
+
+def candidates(keys, ids, low, high, **kind):
+    batch = pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, ids, low, high)], names=["key", "class_id", "low", "high"])
+    return {(a, b) for out in neardup._pair_batches(0.7, None, False, **kind)(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+
+
+@pytest.mark.parametrize(("union", "shared"), [(10, 7), (20, 14), (40, 28), (200, 140)])
+def test_recall_at_the_threshold(union, shared):
+    n, half = 4000, (union - shared) // 2
+    words = np.random.default_rng(union).integers(0, 2**63, (n, union)).astype(np.uint64)
+    left, right = words[:, : shared + half], np.concatenate([words[:, :shared], words[:, shared + half :]], 1)
+    sides = [(neardup.signatures(w.reshape(-1), np.full(n, w.shape[1]), neardup.BANDS * neardup.ROWS), w.shape[1]) for w in (left, right)]
+    met = np.equal(*(neardup.band_keys(sig, neardup.BANDS, neardup.ROWS) for sig, _ in sides)).any(axis=1)
+    low, high = (np.stack(x, 1).reshape(-1) for x in zip(*(neardup.sketches(sig, np.full(n, size), np.ones(n, int)) for sig, size in sides)))
+    passed = candidates(np.repeat(np.arange(n), 2), np.arange(2 * n), low, high)
+    lost = n - sum(bool(met[i]) and (2 * i, 2 * i + 1) in passed for i in range(n))
+    assert lost / n < 0.002  # 0.001 and room for chance
+
+
+def test_refinement_leaves_likeness_to_the_exact_check():
+    opposite = np.array([0, -1], np.int64)
+    size = np.array([40 << 48, 40 << 48 | (1 << 48) - 1], np.int64)
+    one = np.array([1, 1], np.int64)
+    assert candidates(one, np.array([5, 6]), opposite, size) == set()
+    assert candidates(one, np.array([5, 6]), opposite, size, sketch=False) == {(5, 6)}
