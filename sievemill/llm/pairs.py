@@ -14,6 +14,7 @@ another language. Of repeated ids the delivery latest by `order` counts; rows wi
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -80,11 +81,20 @@ def is_empty(text: str) -> bool:
     return not words or words in NO_ANSWER
 
 
+def letters(text: str) -> str:
+    """The text in lower case without white space and punctuation."""
+    return "".join(c for c in text.lower() if unicodedata.category(c)[0] not in "CPZ")
+
+
 def is_copy(text: str, prompt: str | None) -> bool:
-    """Nearly all words are the prompt's, nearly all of the prompt is there, and no technique was named beyond it."""
+    """Nearly all words are the prompt's, nearly all of the prompt is there, and no technique was named beyond it.
+
+    A prompt of fewer than 4 different words (a whole Chinese clause is one) must be given as it is, but for punctuation.
+    """
     asked = Counter(_WORD.findall((prompt or "").lower()))
     if len(asked) < 4:
-        return False
+        whole = letters(prompt or "")
+        return bool(whole) and whole in (letters(text), letters(_CAPTION.sub("", text)))
     if {x.upper() for x in TECHNIQUE.findall(text)} - {x.upper() for x in TECHNIQUE.findall(prompt or "")}:
         return False
     given = Counter(_WORD.findall(_CAPTION.sub("", text).lower()))

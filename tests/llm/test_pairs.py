@@ -52,3 +52,8 @@ def test_empty_and_very_long(spark):
 @pytest.mark.parametrize(("text", "lang"), [("The attacker can read all of the files without a password.", "en"), ("Der Angreifer kann alle Dateien ohne Kennwort lesen.", "de"), ("L'attaquant peut lire tous les fichiers sans mot de passe.", "fr"), ("攻击者可以读取所有文件。", "zh"), ("Злоумышленник может читать все файлы.", "ru"), ("1234 !!", None)])
 def test_language(text, lang):
     assert language.detect(text)[0] == lang
+
+
+@pytest.mark.parametrize(("prompt", "answer", "copy"), [("Weak TLS cipher", '"weak TLS cipher."', True), ("Weak TLS cipher", "Summary: Weak TLS cipher", True), ("该服务无需登录即可访问", "该服务无需登录即可访问。", True), ("Weak TLS cipher", "Weak TLS cipher T1190", False), ("Weak TLS", "Weak SSH", False), ("...", "!", False), (None, "x", False)])
+def test_copy_of_a_short_summary(prompt, answer, copy):
+    assert pairs.is_copy(answer, prompt) == copy
