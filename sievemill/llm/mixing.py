@@ -30,7 +30,7 @@ MAX_USES = 500_000
 
 @dataclass
 class Mix:
-    sample: DataFrame | None  # doc_id, source, copy_no, shard, shuffle_key, n_tokens
+    sample: DataFrame  # doc_id, source, copy_no, shard, shuffle_key, n_tokens
     report: DataFrame  # a row per weighted source
 
 
@@ -61,19 +61,17 @@ def _deal(rng: np.random.Generator, counts: np.ndarray, first: int, shards: int,
     _deal(rng, counts - share, first + left, shards - left, out)
 
 
-def mix(documents: DataFrame, weights: DataFrame, *, total_tokens: int | None = None, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 7, vocabulary: str = VOCABULARY, sample: bool = True) -> Mix:
+def mix(documents: DataFrame, weights: DataFrame, *, total_tokens: int | None = None, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 7, vocabulary: str = VOCABULARY) -> Mix:
     """Sample of `documents` whose sources hold their `target_share` of `total_tokens` (default: all tokens).
 
     A source is used whole floor(quota / its tokens) times and once more up to the rest of its quota, never more than
     `max_repeats` times per document; the rest is met to within one document. Sources of `weights` without documents
     get nothing and are reported as unreachable; documents of other sources only count towards the total. Repeated
-    weight rows count once; null shares or repeats count as 0. With an empty corpus no share can be missed. With
-    `sample=False` only the report is made.
+    weight rows count once; null shares or repeats count as 0. With an empty corpus no share can be missed. The
+    sample is drawn and dealt before the report is given.
     """
     spark = documents.sparkSession
-    sized = sizes(documents, vocabulary)
-    if sample:
-        sized = cut(sized)
+    sized = cut(sizes(documents, vocabulary))
     wanted = weights.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).where("source IS NOT NULL").orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -124,23 +122,21 @@ def mix(documents: DataFrame, weights: DataFrame, *, total_tokens: int | None =
                 plan.append((wanted[k].source, b, p, shard, limit.get((wanted[k].source, b, p))))
             taken[k] += int(n)
 
-    made = None
-    if sample:
-        # The number of uses depends on weights and blocks, not on the corpus; it is broadcast only within its bound.
-        deal = spark.createDataFrame(plan, "source string, block int, copy_no int, shard int, only long")
-        block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
-        placed = sized.withColumn("block", block).join(F.broadcast(deal) if len(plan) <= MAX_USES else deal, ["source", "block"])
-        whole = placed.where("only IS NULL")
-        # One block per source is used in part: its documents in hash order up to the rest of the quota.
-        run = F.sum("n_tokens").over(_hash_order(seed))
-        part = placed.where("only IS NOT NULL").withColumn("run", run).where("run <= only").drop("run")
-        made = (
-            whole.unionByName(part)
-            .withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)))
-            .select("doc_id", "source", "copy_no", "shard", "shuffle_key", "n_tokens")
-            .repartition("shard")
-            .sortWithinPartitions("shard", "shuffle_key")
-        )
+    # The number of uses depends on weights and blocks, not on the corpus; it is broadcast only within its bound.
+    deal = spark.createDataFrame(plan, "source string, block int, copy_no int, shard int, only long")
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("int")
+    placed = sized.withColumn("block", block).join(F.broadcast(deal) if len(plan) <= MAX_USES else deal, ["source", "block"])
+    whole = placed.where("only IS NULL")
+    # One block per source is used in part: its documents in hash order up to the rest of the quota.
+    run = F.sum("n_tokens").over(_hash_order(seed))
+    part = placed.where("only IS NOT NULL").withColumn("run", run).where("run <= only").drop("run")
+    made = cut(
+        whole.unionByName(part)
+        .withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)))
+        .select("doc_id", "source", "copy_no", "shard", "shuffle_key", "n_tokens")
+        .repartition("shard")
+        .sortWithinPartitions("shard", "shuffle_key")
+    )
     schema = "source string, target_share double, max_repeats int, documents long, tokens_available long, tokens_wanted long, tokens_quota long, reachable boolean, total_tokens long"
     told = spark.createDataFrame(report, T._parse_datatype_string(schema))
     return Mix(made, told)

@@ -72,7 +72,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"), sample=False)
+    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "source_weights"))
     return mixed.report.where("NOT reachable").select("source")
 
 

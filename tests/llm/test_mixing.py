@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import mixing
+from sievemill.llm import mixing, queries
 
 
 def documents(spark, rows):
@@ -55,3 +55,11 @@ def test_empty_tables(spark, corpus):
     assert mixing.mix(documents(spark, corpus), weights(spark, [])).report.collect() == []
     odd = mixing.mix(documents(spark, corpus), weights(spark, [("big", None, None), (None, 0.5, 1)]))
     assert odd.sample.collect() == []
+
+
+def test_p7_found_draws_the_sample(spark, corpus, monkeypatch):
+    real, made = mixing.cut, []
+    monkeypatch.setattr(mixing, "cut", lambda df: made.append(df.columns) or real(df))
+    monkeypatch.setattr(queries, "table", lambda s, d, name: documents(s, corpus) if name == "documents" else weights(s))
+    assert sorted(r.source for r in queries.p7_found(spark, "").collect()) == ["absent", "small"]
+    assert any("shard" in columns for columns in made)
