@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, seq bigint, ts double, src string, dst string, proto string, dst_port int, length int"
-MAX_PACKETS = 10_000
+MAX_PACKETS = 0
 PROTOCOLS = {1: "ICMP", 6: "TCP", 17: "UDP", 58: "ICMP"}
 
 
@@ -142,7 +142,7 @@ class _Reader(DataSourceReader):
 
 
 class CaptureSource(DataSource):
-    """Options: path (file, pattern or folder), maxPackets (0 for all; 10,000 as in the plain parser)."""
+    """Options: path (file, pattern or folder), maxPackets (0, the default, for all; the plain parser stops at 10,000)."""
 
     @classmethod
     def name(cls) -> str:

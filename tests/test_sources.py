@@ -245,3 +245,11 @@ def test_pipeline_with_several_mappings_of_a_finding(spark):
     assert all(set(r.mitre_ids) == {*first, *second} and len(r.mitre_ids) == 7 for r in ranked if r.finding_id == "f1")
     assert all(r.matched_mitre == sorted([first[1], second[0]]) for r in ranked if r.finding_id == "f1")
     assert sorted((r.finding_id, r.mapping_id) for r in stages.labelled.collect()) == [("f1", 1), ("f1", 2), ("f2", 3)]
+
+
+def test_long_capture_is_read_whole(tmp_path):
+    packet = b"\x00" * 12 + b"\x08\x00" + bytes([0x45, 0, 0, 28, 0, 0, 0, 0, 64, 17, 0, 0, 10, 0, 0, 1, 10, 0, 0, 2]) + bytes([0, 9, 0, 53, 0, 8, 0, 0])
+    record = struct.pack("<IIII", 1, 0, len(packet), len(packet)) + packet
+    path = write(tmp_path / "long.pcap", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + record * 10_050)
+    reader = pcap._Reader({"path": path})
+    assert sum(1 for _ in reader.read(reader.partitions()[0])) == 10_050
