@@ -130,9 +130,18 @@ def test_no_reports(spark):
     assert overlap.id_pairs(found).collect() == [] and overlap.report(df, found).collect() == []
 
 
-def candidates(keys, ids, low, high, **kind):
-    batch = pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, ids, low, high)], names=["key", "class_id", "low", "high"])
-    return {(a, b) for out in neardup._pair_batches(0.7, None, False, **kind)(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())}
+def candidates(keys, ids, low, high, cap=None, batch=1 << 20):
+    columns = [keys, ids, np.zeros_like(ids), low, high]
+    whole = pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["key", "c1", "c2", "low", "high"])
+    parts = [whole.slice(at, batch) for at in range(0, len(keys), batch)]
+    found, large = set(), []
+    for out in neardup._pair_batches(0.7, cap, False)(iter(parts)):
+        a = neardup.keys_of(out.column("a"))[:, 0].tolist()
+        if out.column("b").null_count:
+            large += a
+        else:
+            found |= set(zip(a, neardup.keys_of(out.column("b"))[:, 0].tolist(), strict=True))
+    return found, large
 
 
 @pytest.mark.parametrize(("union", "shared"), [(10, 7), (20, 14), (40, 28), (200, 140)])
@@ -140,17 +149,50 @@ def test_recall_at_the_threshold(union, shared):
     n, half = 4000, (union - shared) // 2
     words = np.random.default_rng(union).integers(0, 2**63, (n, union)).astype(np.uint64)
     left, right = words[:, : shared + half], np.concatenate([words[:, :shared], words[:, shared + half :]], 1)
-    sides = [(neardup.signatures(w.reshape(-1), np.full(n, w.shape[1]), neardup.BANDS * neardup.ROWS), w.shape[1]) for w in (left, right)]
-    met = np.equal(*(neardup.band_keys(sig, neardup.BANDS, neardup.ROWS) for sig, _ in sides)).any(axis=1)
-    low, high = (np.stack(x, 1).reshape(-1) for x in zip(*(neardup.sketches(sig, np.full(n, size), np.ones(n, int)) for sig, size in sides)))
-    passed = candidates(np.repeat(np.arange(n), 2), np.arange(2 * n), low, high)
-    lost = n - sum(bool(met[i]) and (2 * i, 2 * i + 1) in passed for i in range(n))
-    assert lost / n < 0.002  # 0.001 and room for chance
-
-
-def test_refinement_leaves_likeness_to_the_exact_check():
-    opposite = np.array([0, -1], np.int64)
-    size = np.array([40 << 48, 40 << 48 | (1 << 48) - 1], np.int64)
-    one = np.array([1, 1], np.int64)
-    assert candidates(one, np.array([5, 6]), opposite, size) == set()
-    assert candidates(one, np.array([5, 6]), opposite, size, sketch=False) == {(5, 6)}
+    flat = [(w.reshape(-1), np.full(n, w.shape[1])) for w in (left, right)]
+    sides = [neardup.band_keys(neardup.signatures(*f, neardup.BANDS * neardup.ROWS), neardup.BANDS, neardup.ROWS) for f in flat]
+    met = np.equal(*sides).any(axis=1)
+    assert (~met).mean() < 0.002  # 0.001 and room for chance
+    low, high = (np.stack(x, 1).reshape(-1) for x in zip(*(neardup.sketches(*f, np.ones(n, int)) for f in flat), strict=True))
+    passed, _ = candidates(np.repeat(np.arange(n), 2), np.arange(2 * n), low, high)
+    assert passed == {(2 * i, 2 * i + 1) for i in range(n)}  # the sketch loses no pair
+
+
+def test_sketch_stops_unlike_pairs():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 2**63, (500, 60)).astype(np.uint64)
+    words[:, :30] = words[0, :30]  # similarity 1/3
+    low, high = neardup.sketches(words.reshape(-1), np.full(500, 60), np.ones(500, int))
+    passed, _ = candidates(np.zeros(500, int), np.arange(500), low, high)
+    assert len(passed) < 0.01 * 500 * 499 / 2
+
+
+@pytest.mark.parametrize("batch", [3, 7, 100])
+def test_runs_across_batches(batch):
+    keys = np.array([1] * 2 + [2] * 9 + [3] * 3 + [4])
+    ids = np.array([1, 2, *range(10, 19), 1, 2, 2, 1])
+    size = np.full(len(keys), 30 << 48)
+    found, large = candidates(keys, ids, np.zeros(len(keys), int), size, cap=5, batch=batch)
+    assert found == {(1, 2)} and sorted(large) == list(range(10, 19))
+
+
+def test_word_sets_agree_with_the_definition():
+    texts = ["", None, "a b a", "é-x9_x9 zz", "łódź", "one\x00two  one", "x" * 5000 + " y", "end", "end"]
+    values, sizes = neardup.word_sets(pa.array(texts, pa.string()).slice(0))
+    assert sizes.tolist() == [len(bag(t)) for t in texts]
+    lists = np.split(values, np.cumsum(sizes)[:-1])
+    assert set(lists[-1]) == set(lists[-2]) and not set(lists[-1]) & set(lists[2])
+    again, cut = neardup.word_sets(pa.array(texts, pa.string()).slice(2, 3))
+    assert cut.tolist() == sizes[2:5].tolist() and (again == np.concatenate(lists[2:5])).all()
+    keys = neardup.set_keys(values, sizes[sizes > 0])
+    assert (keys[-1] == keys[-2]).all() and len({tuple(k) for k in keys}) == 6
+
+
+def test_many_near_copies_in_one_bucket(spark):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join([f"u{i}", *base[:40], *(rng.choice(base[40:]) for _ in range(3)), f"v{i}", *(f"p{i}x{j}" for j in range(18))])) for i in range(3000)]
+    rows += [(100_000 + i, " ".join([*base, f"u{i}"])) for i in range(60)]
+    found = neardup.find(spark.createDataFrame(rows, "id long, body string"), "id", F.col("body"), cap=20)
+    got = pairs_of(found)
+    assert got == {(100_000 + i, 100_000 + j) for i in range(60) for j in range(i + 1, 60)}
