@@ -2,10 +2,13 @@
 
 Types, first match wins: `empty`, `copy`, `refusal`, `truncated`, `other_language`.
 
-Two statistics do the work. Languages of prompt and answer are compared by the posteriors of a character n-gram naive
+Three statistics do the work. Languages of prompt and answer are compared by the posteriors of a character n-gram naive
 Bayes model (`language`). Truncation of running text is read from an end-of-text n-gram model: over all answers it is
-counted how often a character-class 3-gram is the last of an answer, and an end that is hardly ever an end is a cut.
-Lists and JSON are checked exactly by their brackets and quotes. The model is at most 46,656 counts, summed map-side.
+counted how often a character-class 3-gram is the last of an answer, and an end that is hardly ever an end is a cut. The
+model is two counts for each of 262,144 codes, summed map-side. Refusals are sentences that a word n-gram naive Bayes
+model (`declining`) finds declining, in an answer that names no technique. Rules decide only closed formats: brackets
+and quotes of lists and JSON, an ellipsis, half an id or a comma after an id at the end, words that stand for no answer, words in common with
+the prompt.
 
 A null or blank answer is `empty`, also with a null prompt; with a null or wordless prompt there is neither a copy nor
 another language. Of repeated ids the delivery latest by `order` counts; rows with a null id are dropped.
@@ -17,54 +20,71 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import cut, latest, spread
-from sievemill.llm.language import detect
+from sievemill.llm.declining import LEAST_ODDS, odds
+from sievemill.llm.language import detect, words_of
 
 #: What stands for no answer.
 NO_ANSWER = {"none", "null", "na", "n a", "nil", "nan", "empty", "no output", "no answer", "no response", "not available", "not applicable", "undefined", "blank", "void", "nothing", "no data", "no content", "missing"}
-#: How an answer declines the task.
-REFUSAL = re.compile(
-    r"\b(?:i|we)\s*(?:'m|’m|\s+am|\s+are)?\s*(?:(?:really|very|so|truly)\s+)?(?:sorry|afraid)\b(?!.{0,40}\bfits\b)"
-    r"|\bsorry,? (?:but |this |i |that )"
-    r"|\b(?:i|we) (?:can ?not|can['’]t|won['’]t|will not|could not|am not able|am unable|are unable|must not|do not|don['’]t|may not|would rather not|['’]d rather not)\b(?: be able to)? ?(?:assist|help|provide|comply|comment|discuss|answer|analy[sz]e|classify|map|support|engage|fulfil|continue|complete|offer|share|do)\b"
-    r"|\bi['’]d rather not\b|\bunable to (?:help|assist|comply|answer|provide)|\bnot able to (?:help|assist|comply|answer|provide)|\b(?:must|have to|need to) (?:decline|refuse)\b"
-    r"|\bi (?:decline|refuse)\b|\bagainst my\b|\bmy (?:safety |content |usage )?(?:policies|policy|guidelines|rules|instructions) (?:do|does|prevent|prohibit|forbid|bar)"
-    r"|\bnot (?:something|a topic|a subject) (?:i|we) (?:am|can|may|could)|\bsomething i am not (?:allowed|able|permitted)|\bnot (?:allowed|permitted) to (?:give|help|answer|provide|discuss|assist)"
-    r"|\bwould be (?:inappropriate|unethical|irresponsible) for me\b|\bas an? (?:ai|language model|assistant)\b|\b(?:blocked|stopped|withheld) by (?:the|a|our) \w+ ?(?:filter|policy|system)"
-    r"|\b(?:falls|is|lies) outside what i (?:may|can)|\brequest (?:was |is |has been )?(?:declined|refused|denied|blocked|rejected)\b|\bfor (?:ethical|safety|legal|security) reasons i\b|\btalk about something else\b"
-    r"|\bkann (?:ich )?(?:dabei |hierbei )?nicht (?:helfen|weiterhelfen)|\btut mir leid\b|\bje (?:suis désolé|ne peux pas)|\blo siento\b|\bno puedo (?:ayudar|responder)|\bmi dispiace\b|не могу (?:помочь|ответить)|无法(?:协助|提供|回答)|抱歉",
-    re.I | re.S,
-)
 TECHNIQUE = re.compile(r"\bT(?:A?\d{4})(?:\.\d{3})?(?![\w])", re.I)
 _CAPTION = re.compile(r"^\W*(?:#+ *)?(?:assistant|answer|output|response|result|note|reply|summary|log|finding|input|text|question|prompt)\s*[:：]\s*", re.I)
 _WORD = re.compile(r"\w+")
 _FENCE = re.compile(r"^```[\w-]*[ \t]*\n?|\n?[ \t]*```$")
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)"?')
-END_MIN = 0.01
+#: An ellipsis, half a technique id or an id with a comma at the end.
+_CUT = re.compile(r"(?:…|\.\.\.)$|\bT\d{4}(?:\.\d{3})?\W*,$|\bT(?:A?\d{0,3}|A?\d{4}\.\d{1,2})$")
+ID_MARK = "\x00"
+GRAM_CODES = 1 << 18
+#: Places that end an answer less often than the average place are cuts.
+END_MIN = 1.0
 LANGUAGE_MARGIN = 0.25
 LANGUAGE_GRAMS = 45
 
 
-def shape(text: str) -> str:
-    """Character classes: ids T, digits 9, letters a or A, blanks, ASCII marks as they are, other marks p."""
-    out = []
-    for c in TECHNIQUE.sub("\x00", text):
-        if c == "\x00":
-            out.append("T")
+def _classes() -> np.ndarray:
+    """Class of each code point below 65536: id 1, digit 2, small letter 3, capital 4, blank 5, full stop of East Asia 6, other mark 7, ASCII marks from 8."""
+    made = np.full(1 << 16, 7, np.uint8)
+    marks = 8
+    for i in range(1 << 16):
+        c = chr(i)
+        if c == ID_MARK:
+            made[i] = 1
         elif c.isdigit():
-            out.append("9")
+            made[i] = 2
         elif c.isalpha():
-            out.append("A" if c.isupper() else "a")
+            made[i] = 4 if c.isupper() else 3
         elif c.isspace():
-            out.append(" ")
-        else:
-            out.append(c if c < "\x7f" else "。" if c in "。！？" else "p")
-    return "".join(out)
+            made[i] = 5
+        elif c in "。！？":
+            made[i] = 6
+        elif 32 < i < 127:
+            made[i] = marks
+            marks += 1
+    return made
+
+
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    return _classes()
+
+
+def shape(text: str) -> np.ndarray:
+    """Character classes of a text; a technique id is one character, code points above 65535 are marks."""
+    points = np.frombuffer(TECHNIQUE.sub(ID_MARK, text).encode("utf-32-le", "replace"), np.uint32)
+    return classes()[np.minimum(points, 0xFFFF)]
+
+
+def gram_codes(text: str) -> np.ndarray:
+    """Codes of the class 3-grams that end at each character; the start of the text counts as class 0."""
+    s = np.r_[0, 0, shape(text).astype(np.int32)]
+    return s[:-2] << 12 | s[1:-1] << 6 | s[2:]
 
 
 def bare(text: str | None) -> str:
@@ -108,8 +128,11 @@ def is_copy(text: str, prompt: str | None) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    """Declining words; beside a technique id they are a quotation or a reservation, for the task was done."""
-    return not TECHNIQUE.search(text) and bool(REFUSAL.search(text))
+    """Declining sentences; beside a technique id they are a quotation or a reservation, for the task was done."""
+    if TECHNIQUE.search(text):
+        return False
+    said = ". ".join(_STRING.findall(text)) if "{" in text or "[" in text else _CAPTION.sub("", text)
+    return odds(said) > LEAST_ODDS
 
 
 def open_brackets(text: str) -> bool:
@@ -132,19 +155,11 @@ def open_brackets(text: str) -> bool:
     return bool(depth or quote)
 
 
-def is_truncated(text: str, ends: dict[str, float]) -> bool:
-    if open_brackets(text):
+def is_truncated(text: str, ends: np.ndarray) -> bool:
+    """An open list or object, an ellipsis, half an id, a comma after an id, or an end that hardly ever is one; `ends` is the end-of-text model."""
+    if open_brackets(text) or _CUT.search(text):
         return True
-    if re.search(r"(?:…|\.\.\.)$", text) or re.search(r"\bT(?:A?\d{0,3}|A?\d{4}\.\d{1,2})$", text):
-        return True
-    if text[-1] in ",;:(-–/&" or re.search(r"\b(?:and|or|und|et|y|e|en|и)$", text):
-        return True
-    line = text.rsplit("\n", 1)[-1]
-    prose = [w for w in _WORD.findall(TECHNIQUE.sub(" ", _CAPTION.sub("", line))) if not w.isdigit()]
-    cjk = len(re.findall(r"[぀-ヿ一-鿿]", line))
-    if (len(prose) < 2 and cjk < 4) or text[-1] in "]}" or re.search(r"[^\d\s][.!?。！？][\"'”’)]*$", text):
-        return False
-    return ends.get(shape(text[-12:])[-3:], 0.0) < END_MIN
+    return bool(ends[gram_codes(text[-40:])[-1]] < END_MIN)
 
 
 def running_text(text: str) -> str:
@@ -155,18 +170,26 @@ def running_text(text: str) -> str:
 
 
 def is_other_language(text: str, prompt: str | None) -> bool:
+    """The answer's sentences, without the longer words of the prompt, are in another language or script than the prompt.
+
+    Both must be clear: by the mean log-likelihood of an n-gram the answer's language leads over the prompt's in the
+    answer, and the prompt's over the answer's in the prompt. Languages without a model differ by their script.
+    """
     if not prompt or not prompt.strip():
         return False
-    said = running_text(text)
-    shared = frozenset(w.lower() for w in re.findall(r"[^\W\d_]+", prompt) if len(w) > 5)
-    asked, _, n_asked = detect(prompt)
-    given, score, n_given = detect(said, shared)
-    if asked is None or given is None or n_given < LANGUAGE_GRAMS or n_asked < LANGUAGE_GRAMS:
+    asked_words = words_of(prompt)
+    given, score, n = detect(words_of(running_text(text)), frozenset(w for w in asked_words if len(w) > 5))
+    if given is None or n < LANGUAGE_GRAMS:
+        return False
+    asked, own, n_asked = detect(asked_words)
+    if asked is None or asked == given or n_asked < LANGUAGE_GRAMS:
         return False
-    return given != asked and (score[given] - score[asked]) / n_given > LANGUAGE_MARGIN
+    if asked not in own or given not in score:
+        return "unknown" not in (asked, given) or max(score.values()) / n - score.get(asked, min(score.values())) / n > LANGUAGE_MARGIN
+    return (score[given] - score[asked]) / n > LANGUAGE_MARGIN and own[asked] > own[given]
 
 
-def defect(prompt: str | None, answer: str | None, ends: dict[str, float]) -> str | None:
+def defect(prompt: str | None, answer: str | None, ends: np.ndarray) -> str | None:
     text = bare(answer)
     if is_empty(text):
         return "empty"
@@ -182,23 +205,25 @@ def defect(prompt: str | None, answer: str | None, ends: dict[str, float]) -> st
 
 
 def _count_ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    inside: Counter = Counter()
-    last: Counter = Counter()
+    inside, last = np.zeros(GRAM_CODES, np.int64), np.zeros(GRAM_CODES, np.int64)
     for frame in frames:
-        for answer in frame.answer[frame.answer.notna()]:
-            s = shape(bare(answer))
-            inside.update(s[i : i + 3] for i in range(len(s) - 2))
-            if s:
-                last[s[-3:]] += 1
-    keys = sorted(inside.keys() | last.keys())
-    yield pd.DataFrame({"gram": pd.Series(keys, dtype=object), "n": pd.Series([inside[k] for k in keys], dtype="int64"), "n_end": pd.Series([last[k] for k in keys], dtype="int64")})
-
-
-def end_model(answers: DataFrame) -> dict[str, float]:
-    """Chance that a character-class 3-gram ends an answer, from all answers."""
-    parts = answers.select("answer").mapInPandas(_count_ends, "gram string, n long, n_end long")
-    rows = parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")).collect()  # at most alphabet^3 rows
-    return {r.gram: r.n_end / max(r.n, r.n_end, 1) for r in rows}
+        codes = [c for answer in frame.answer[frame.answer.notna()] if len(c := gram_codes(bare(answer)))]
+        if codes:
+            inside += np.bincount(np.concatenate(codes), minlength=GRAM_CODES)
+            last += np.bincount(np.array([c[-1] for c in codes]), minlength=GRAM_CODES)
+    used = np.flatnonzero(inside)
+    yield pd.DataFrame({"gram": used.astype("int32"), "n": inside[used], "n_end": last[used]})
+
+
+def end_model(answers: DataFrame) -> np.ndarray:
+    """How much oftener than an average place a class 3-gram ends an answer, by code, from all answers; 0 for unseen ones."""
+    parts = answers.select("answer").mapInPandas(_count_ends, "gram int, n long, n_end long")
+    rows = parts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")).collect()  # at most GRAM_CODES rows
+    made = np.zeros(GRAM_CODES)
+    usual = sum(r.n_end for r in rows) / max(1, sum(r.n for r in rows))
+    for r in rows:
+        made[r.gram] = r.n_end / r.n / usual
+    return made
 
 
 def defects(df: DataFrame, ident: str, prompt: str, answer: str, *, order: str | None = None) -> DataFrame:

@@ -49,9 +49,44 @@ def test_empty_and_very_long(spark):
     assert {r.id: r.defect_type for r in got} == {2: "empty"}
 
 
-@pytest.mark.parametrize(("text", "lang"), [("The attacker can read all of the files without a password.", "en"), ("Der Angreifer kann alle Dateien ohne Kennwort lesen.", "de"), ("L'attaquant peut lire tous les fichiers sans mot de passe.", "fr"), ("攻击者可以读取所有文件。", "zh"), ("Злоумышленник может читать все файлы.", "ru"), ("1234 !!", None)])
+#: Held out: languages and phrasings that no training sentence holds.
+LANGUAGES = [
+    ("The attacker can read all of the files without a password.", "en"), ("Der Angreifer kann alle Dateien ohne Kennwort lesen.", "de"), ("L'attaquant peut lire tous les fichiers sans mot de passe.", "fr"), ("攻击者可以读取所有文件。", "zh"), ("Злоумышленник может читать все файлы.", "ru"), ("1234 !!", None),
+    ("Bu hizmet kimlik doğrulaması olmadan erişilebilir durumda.", "tr"), ("Palvelu vastaa ilman kirjautumista ja hyökkääjä voi lukea tiedot.", "fi"), ("Služba odpovídá bez přihlášení a útočník může číst data.", "cs"), ("يمكن للمهاجم قراءة البيانات بدون كلمة مرور", "ar"), ("攻撃者はデータを読むことができます", "ja"), ("공격자는 데이터를 읽을 수 있습니다", "ko"),
+    ("Ο εισβολέας μπορεί να διαβάσει τα δεδομένα", "el"), ("ხელმისაწვდომია პაროლის გარეშე", "georgian"), ("Xqzvk wrtplm qqzzx vbnkt jhgfd zxcvb", "unknown"), ("Angriparen kan läsa alla filer utan lösenord, och ingen märker det.", "sv"), ("Atacatorul poate citi toate fișierele fără parolă.", "ro"), ("Napadač može čitati sve datoteke bez lozinke.", None),
+]
+
+
+@pytest.mark.parametrize(("text", "lang"), LANGUAGES)
 def test_language(text, lang):
-    assert language.detect(text)[0] == lang
+    got = language.detect(language.words_of(text))[0]
+    assert got == lang if lang or text[0].isdigit() else got != "en"
+
+
+FOREIGN = ["Bu hizmet kimlik doğrulaması olmadan erişilebilir durumda, bu nedenle T1190 seçildi.", "Teenus vastab ilma sisselogimiseta ja ründaja saab andmeid lugeda, seega sobib T1190.", "Ο εισβολέας μπορεί να διαβάσει τα δεδομένα χωρίς κωδικό, άρα T1190.", "ผู้โจมตีสามารถอ่านข้อมูลได้โดยไม่ต้องใช้รหัสผ่าน จึงเลือก T1190", "Napadač može čitati sve datoteke bez lozinke, pa je T1190 najbolji izbor."]
+SAID = ["Any caller can read the export, hence T1190 seems the closest label.", "T1059: the script host runs whatever the ticket field contains.", "Two candidates remain, T1190 and T1133; the exposed portal speaks for the former.", "Cipher suites were negotiated downward (T1557)."]
+
+
+@pytest.mark.parametrize(("answer", "foreign"), [(a, True) for a in FOREIGN] + [(a, False) for a in SAID])
+def test_other_language_is_told_in_unseen_languages(answer, foreign):
+    assert pairs.is_other_language(answer, PROMPT) == foreign
+
+
+REFUSED = ["I won't be producing that.", "Let us not go there; ask someone else.", "Sorry, this is a matter I may not touch.", "Nope, I don't help with break-ins.", '{"note": "I cannot discuss this subject."}', "My rules forbid such replies.", "I'd prefer to talk about other subjects.", "Lamento, no puedo ayudar con esta solicitud."]
+DONE = ["No entry of the matrix covers this.", "I am not sure, nothing in the text names a behaviour.", "The daemon refuses valid tickets and cannot recover.", "The parser is unable to reject forged tokens.", "Users are not allowed to change it, the vendor says.", '{"techniques": [], "note": "Nothing in it points to a technique."}', "I cannot tell which label applies."]
+
+
+@pytest.mark.parametrize(("answer", "refused"), [(a, True) for a in REFUSED] + [(a, False) for a in DONE])
+def test_refusals_in_unseen_words(answer, refused):
+    assert pairs.is_refusal(answer) == refused
+
+
+def test_end_of_text_model_decides_running_text(spark):
+    sound = ["Anyone on the segment can replay the ticket, so T1558 fits.", "T1021\nT1078", "['T1190']", "T1110 (brute force)", "Likely T1499, as the queue never drains!"] * 40
+    cut = ["Anyone on the segment can replay the tick", "The broker trusts the header and", "It fits T1499, since the queue nev"]
+    df = spark.createDataFrame([(i, PROMPT, a) for i, a in enumerate([*sound, *cut])], "id long, q string, a string")
+    got = {r.id: r.defect_type for r in pairs.defects(df, "id", "q", "a").collect()}
+    assert got == {len(sound) + i: "truncated" for i in range(len(cut))}
 
 
 @pytest.mark.parametrize(("prompt", "answer", "copy"), [("Weak TLS cipher", '"weak TLS cipher."', True), ("Weak TLS cipher", "Summary: Weak TLS cipher", True), ("该服务无需登录即可访问", "该服务无需登录即可访问。", True), ("Weak TLS cipher", "Weak TLS cipher T1190", False), ("Weak TLS", "Weak SSH", False), ("...", "!", False), (None, "x", False)])
