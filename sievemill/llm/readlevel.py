@@ -36,68 +36,106 @@ SUBORDINATORS = set("that which who whom whose although because since whereas un
 PRONOUNS = set("i you he she it we they me him her us them my your his our their this these those".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _ALPHA = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"(?<!\S)[(\[\"'“‘’]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\]\"'’”]*(?!\S)")
+_TOKEN = re.compile(r"\S+")
+_UNSPACED = re.compile("[\u3040-\u9fff\uac00-\ud7a3]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
 _VOWELS = re.compile(r"[aeiouy]+")
 _NOMINAL = re.compile(r"(?:tion|sion|ment|ness|ity|ance|ence|ism|ship|ation)s?$")
 SHARES = ["seven_letters", "ten_letters", "thirteen_letters", "four_syllables", "common", "nominal", "subordinators", "connectives", "pronouns", "adverbs"]
 NAMES = ["letters", "letters_sd", "letters_p90", "syllables", "sentence", "sentence_sd", "sentence_p90", "type_token", "commas", "marks", "overlap", *SHARES]
+#: Text whose words are to this share common English ones is English without a look at its letters.
+SURELY_ENGLISH = 0.3
 
 
-@lru_cache(maxsize=200_000)
 def _traits(w: str) -> tuple:
     """Letters, syllables and, as 0 or 1, what SHARES names."""
     n, syllables = len(w), max(1, len(_VOWELS.findall(w)))
     return n, syllables, n >= 7, n >= 10, n >= 13, syllables >= 4, w in COMMON, bool(_NOMINAL.search(w)), w in SUBORDINATORS, w in CONNECTIVES, w in PRONOUNS, w.endswith("ly")
 
 
+class Lexicon:
+    """Traits of the words a worker has met, as rows of one table; it is emptied when full, which changes no result."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        self.most = most
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((1024, 2 + len(SHARES)))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self.place) + len(words) > self.most:
+            self.place.clear()
+        fresh = [w for w in words if w not in self.place]
+        at = len(self.place)
+        if at + len(fresh) > len(self.table):
+            grown = np.zeros((2 * (at + len(fresh)), self.table.shape[1]))
+            grown[:at] = self.table[:at]
+            self.table = grown
+        for i, w in enumerate(fresh, at):
+            self.place[w] = i
+            self.table[i] = _traits(w)
+        return self.table[[self.place[w] for w in words]]
+
+
+@lru_cache(maxsize=1)
+def lexicon() -> Lexicon:
+    return Lexicon()
+
+
+class Reading:
+    """A text taken apart once: its sentences as lists of lower-cased words, and the count of each word."""
+
+    def __init__(self, text: str | None) -> None:
+        self.text = text or ""
+        self.low = self.text.lower()
+        self.sentences = [w for s in _SENTENCE.split(self.low) if (w := _ALPHA.findall(s))]
+        self.seen = Counter(w for s in self.sentences for w in s)
+        self.n = sum(map(len, self.sentences))
+
+    def features(self) -> np.ndarray:
+        """Feature row, in the order of NAMES; zeros without words."""
+        if not self.n:
+            return np.zeros(len(NAMES))
+        n, sentences, text = self.n, self.sentences, self.text
+        counts = np.fromiter(self.seen.values(), float, len(self.seen))
+        traits = lexicon().rows(list(self.seen))
+        letters = traits[:, 0]
+        order = np.argsort(letters, kind="stable")
+        mean = (letters * counts).sum() / n
+        deviation = np.sqrt(((letters - mean) ** 2 * counts).sum() / n)
+        p90 = letters[order][np.searchsorted(np.cumsum(counts[order]), 0.9 * n)]
+        syllables, *shares = counts @ traits[:, 1:] / n
+        lengths = np.array([len(s) for s in sentences], float)
+        content = [{w for w in s if len(w) > 4} for s in sentences]
+        pairs = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:], strict=False)]
+        marks = (text.count(";") + text.count(":") + text.count("(")) / len(sentences)
+        return np.array([mean, deviation, p90, syllables, lengths.mean(), lengths.std(), np.percentile(lengths, 90), len(self.seen) / n**0.75, text.count(",") / len(sentences), marks, sum(pairs) / len(pairs) if pairs else 0.0, *shares])
+
+    def kind(self) -> str:
+        if not self.n and not _WORDS.search(self.low):
+            return "empty"
+        tokens = len(_TOKEN.findall(self.text))
+        plain = len(_PLAIN.findall(self.text))
+        if plain < 0.4 * tokens and (self.text.isascii() or len(_UNSPACED.findall(self.text)) < 0.2 * len(self.text)):
+            return "listing"
+        common = sum(k for w, k in self.seen.items() if w in COMMON)
+        if common < SURELY_ENGLISH * self.n:
+            language, _, grams = detect(Counter({w: k for w, k in self.seen.items() if w.isalpha()}))
+            if common < 0.12 * self.n and (language in (None, "en") or grams < 60):
+                return "listing"
+            if language not in (None, "en"):
+                return "other_language"
+        if plain < 0.7 * tokens:
+            return "listing"
+        return "short" if len(_WORDS.findall(self.low)) < MIN_WORDS else "prose"
+
+
 def features(text: str) -> np.ndarray:
-    """Feature row of a text, in the order of NAMES; zeros without words."""
-    sentences = [w for s in _SENTENCE.split(text) if (w := [x.lower() for x in _ALPHA.findall(s)])]
-    words = [w for s in sentences for w in s]
-    if not words:
-        return np.zeros(len(NAMES))
-    n = len(words)
-    seen = Counter(words)
-    counts = np.fromiter(seen.values(), float, len(seen))
-    traits = np.array([_traits(w) for w in seen], float)
-    letters = traits[:, 0]
-    order = np.argsort(letters)
-    mean = (letters * counts).sum() / n
-    deviation = np.sqrt(((letters - mean) ** 2 * counts).sum() / n)
-    p90 = letters[order][np.searchsorted(np.cumsum(counts[order]), 0.9 * n)]
-    shares = (traits[:, 2:] * counts[:, None]).sum(axis=0) / n
-    syllables = (traits[:, 1] * counts).sum() / n
-    lengths = np.array([len(s) for s in sentences], float)
-    content = [{w for w in s if len(w) > 4} for s in sentences]
-    pairs = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:], strict=False)]
-    marks = (text.count(";") + text.count(":") + text.count("(")) / len(sentences)
-    return np.array([mean, deviation, p90, syllables, lengths.mean(), lengths.std(), np.percentile(lengths, 90), len(seen) / n**0.75, text.count(",") / len(sentences), marks, float(np.mean(pairs)) if pairs else 0.0, *shares])
+    return Reading(text).features()
 
 
 def kind_of(text: str | None) -> str:
-    if not text or not text.strip():
-        return "empty"
-    alpha = _ALPHA.findall(text)
-    tokens = text.split()
-    plain = sum(1 for t in tokens if t.strip(".,;:!?()[]\"'’“”").replace("'", "").replace("-", "").isalpha())
-    latin = _WORDS.findall(text.lower())
-    if not alpha and not latin:
-        return "empty"
-    unspaced = sum(1 for c in text if "\u3040" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7a3")
-    if plain < 0.4 * len(tokens) and unspaced < 0.2 * len(text):
-        return "listing"
-    common = sum(1 for w in alpha if w.lower() in COMMON)
-    if alpha and common < 0.12 * len(alpha):
-        language, _, n = detect(text)
-        if language is not None and language != "en" and n >= 60:
-            return "other_language"
-        return "listing"
-    language = detect(text)[0]
-    if language not in (None, "en"):
-        return "other_language"
-    if plain < 0.7 * len(tokens):
-        return "listing"
-    return "short" if len(latin) < MIN_WORDS else "prose"
+    return Reading(text).kind()
 
 
 def train(examples: DataFrame, *, limit: int = MAX_EXAMPLES, folds: int = FOLDS) -> tuple[gbrt.Boosted, pd.DataFrame]:
@@ -120,8 +158,9 @@ def _score(model: gbrt.Boosted, keep: list[str], text: str):
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)
                 texts = batch.column(text).to_pylist()
-                kinds = [kind_of(t) for t in texts]
-                levels = model.predict(np.vstack([features(t or "") for t in texts]))
+                read = [Reading(t) for t in texts]
+                kinds = [r.kind() for r in read]
+                levels = model.predict(np.vstack([r.features() for r in read]))
                 levels = [None if k == "empty" else float(v) for k, v in zip(kinds, levels, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(kinds, pa.string()), pa.array(levels, pa.float64())], names=[*keep, "kind", "level"])
 
