@@ -1,7 +1,8 @@
 """Problem 1: a sample that follows target shares of categories.
 
-Systematic unequal-probability sampling. Each category gets an expected size from its share, its floor and what exists;
-a member's inclusion probability is expected / available. Members are range-partitioned by category and a random hash,
+Systematic unequal-probability sampling. Each category gets an expected size from its share, its floor and what exists:
+its share of the asked size at least, so floors come on top and never starve a category without one; only what some
+categories lack is spread over the others. A member's inclusion probability is expected / available. Members are range-partitioned by category and a random hash,
 so a category of any size spreads over many partitions. Probabilities are prefix-summed within partitions and across
 them (the driver holds one number per partition), one random start fixes the grid, and members whose interval holds a
 grid point are drawn. A category therefore gets its expected size rounded up or down; floors missed by rounding are
@@ -38,12 +39,15 @@ def first_category(ids: Column) -> Column:
 
 
 def expected_sizes(shares: np.ndarray, floors: np.ndarray, available: np.ndarray, size: float) -> np.ndarray:
-    """Sizes proportional to the shares within [floor, available] that sum to `size` where that is possible."""
+    """Sizes within [floor, available], proportional to the shares: at least share x size, more where others lack members.
+
+    They sum to `size`, to less where too little exists, and to more where floors ask for it.
+    """
     low, high = np.minimum(floors, available), available.astype(float)
     at = lambda scale: np.clip(scale * shares * size, low, high)
-    if not len(shares) or at(0).sum() >= size:
-        return at(0) if len(shares) else low.astype(float)
-    left, right = 0.0, 1.0
+    if not len(shares) or at(1.0).sum() >= size:
+        return at(1.0) if len(shares) else low.astype(float)
+    left, right = 1.0, 2.0
     while at(right).sum() < size and right < 1e12:
         right *= 2
     for _ in range(200):
@@ -77,8 +81,10 @@ def draw(records: DataFrame, ident: str, category: Column, targets: DataFrame, *
     `targets` holds `key`, `target_share` and `min_rows`; null shares and floors count as 0 and repeated keys once, by
     their greatest values. A record counts once, by its delivery latest in `order`; records with a null id or no
     category take no part, and categories outside `targets` are counted but never drawn. The report has one row per
-    target with `met` false where the category has fewer members than share x sample size or than its floor. Empty
-    inputs give an empty sample and a full report.
+    target and speaks of the rows drawn: `met` is false where they are fewer than the floor, or than share x asked size
+    rounded down, or are all there is and still below it; `short_of` says which. `share_met` tells whether the share of
+    the sample is the target to within a row; floors that add up to more than the size, or others' lack, can shift it.
+    Empty inputs give an empty sample and a full report.
     """
     spark = records.sparkSession
     at = F.col(order) if order else F.lit(None).cast("timestamp")
@@ -124,9 +130,11 @@ def draw(records: DataFrame, ident: str, category: Column, targets: DataFrame, *
     drawn = sum(got.values())
     told = []
     for w, e, a in zip(wanted, expected, available, strict=True):
-        want = w.share * size
-        few, below = bool(a < want), bool(a < w.least)
+        want, n = w.share * size, got.get(w.category, 0)
+        few = n <= want - 1 or (n == a and n < want)
+        below = n < w.least
         reason = "share and floor" if few and below else "share" if few else "floor" if below else None
-        told.append((w.category, float(w.share), int(w.least), int(a), float(want), float(e), got.get(w.category, 0), got.get(w.category, 0) / drawn if drawn else None, not few and not below, reason))
-    schema = f"{key} string, target_share double, min_rows int, available long, wanted_rows double, expected_rows double, drawn_rows long, actual_share double, met boolean, short_of string"
+        share = n / drawn if drawn else None
+        told.append((w.category, float(w.share), int(w.least), int(a), float(want), float(e), n, share, bool(not few and not below), reason, bool(drawn and abs(n - w.share * drawn) <= 1)))
+    schema = f"{key} string, target_share double, min_rows int, available long, wanted_rows double, expected_rows double, drawn_rows long, actual_share double, met boolean, short_of string, share_met boolean"
     return Sample(rows, spark.createDataFrame(told, schema))
