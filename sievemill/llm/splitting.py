@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 8000
 OVERLAP = 200
+SPAN = 4096
 #: Cut points, coarse to fine: a cut falls at the end of a match.
 SEPARATORS = (
     re.compile(r"\f|\n(?=[ \t]*(?:#{1,6} |SECTION\b|Section \d|CHAPTER\b|Control \S+\n|\d+(?:\.\d+)* [A-Z]))"),
@@ -92,10 +93,21 @@ def batches(progress: DataFrame) -> DataFrame:
 
 
 def batch_pages(progress: DataFrame, pages: DataFrame) -> DataFrame:
-    """pdf_path, batch_index, page_no for pages in a batch; ranges are clipped to the pages that exist."""
+    """pdf_path, batch_index, page_no for pages in a batch.
+
+    A batch of under SPAN pages lists its numbers. A wider one (a stray number can make it billions) lists the blocks of
+    SPAN numbers it touches and meets only the pages that exist there, at most SPAN of one file in a block.
+    """
+    span = F.col("last").cast("long") - F.col("first").cast("long")
+    ranges = batches(progress)
+    narrow = ranges.where(span < SPAN).select("pdf_path", "batch_index", F.explode(F.sequence("first", "last")).alias("page_no"))
     bounds = pages.where("page_no IS NOT NULL").groupBy("pdf_path").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"))
-    clipped = batches(progress).join(bounds, "pdf_path").select("pdf_path", "batch_index", F.greatest("first", "lo").alias("first"), F.least("last", "hi").alias("last")).where("first <= last")
-    return clipped.select("pdf_path", "batch_index", F.explode(F.sequence("first", "last")).alias("page_no"))
+    wide = ranges.where(span >= SPAN).join(bounds, "pdf_path").select("pdf_path", "batch_index", F.greatest("first", "lo").alias("first"), F.least("last", "hi").alias("last")).where("first <= last")
+    block = lambda c: F.floor(F.col(c) / SPAN).cast("int")
+    blocks = wide.select("*", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    there = pages.where("page_no IS NOT NULL").select("pdf_path", "page_no", block("page_no").alias("block")).distinct()
+    met = blocks.join(there, ["pdf_path", "block"]).where("page_no BETWEEN first AND last").select("pdf_path", "batch_index", "page_no")
+    return narrow.unionByName(met)
 
 
 def oversized(progress: DataFrame, pages: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -71,3 +71,13 @@ def test_empty_tables(spark):
 def test_bad_overlap():
     with pytest.raises(ValueError):
         splitting.Packer(10, 10)
+
+
+def test_stray_page_numbers(spark):
+    rows = [(1, "a", 0, 0, 2_000_000_000, "ok", None, 1), (2, "a", 1, 5000, 9100, "ok", None, 1), (3, "b", 0, -7, 0, "ok", None, 1)]
+    pages = [("a", n, "x" * 900) for n in (0, 1, 4095, 4096, 5000, 9099, 9100, 9101, 2_000_000_000)] + [("b", -7, "y"), ("b", 0, "z")]
+    table = spark.createDataFrame(pages, "pdf_path string, page_no int, page_text string")
+    met = {(r.pdf_path, r.batch_index, r.page_no) for r in splitting.batch_pages(progress(spark, rows), table).collect()}
+    there = {(p, n) for p, n, _ in pages}
+    assert {m for m in met if (m[0], m[2]) in there} == {("a", 0, n) for p, n, _ in pages if p == "a"} | {("a", 1, n) for n in (5000, 9099, 9100)} | {("b", 0, -7), ("b", 0, 0)}
+    assert [(r.batch_index, r.n_chars) for r in splitting.oversized(progress(spark, rows), table).collect()] == [(0, 8100)]
