@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,46 @@ def test_p7_found_draws_the_sample(spark, corpus, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda s, d, name: documents(s, corpus) if name == "documents" else weights(s))
     assert sorted(r.source for r in queries.p7_found(spark, "").collect()) == ["absent", "small"]
     assert any("shard" in columns for columns in made)
+
+
+def test_uses_stay_bounded_and_cover_the_quota():
+    rng = np.random.default_rng(3)
+    totals = {b: (int(rng.integers(1, 50)), 3) for b in range(0, mixing.BLOCKS, 3)}
+    available = sum(t for t, _ in totals.values())
+    order = rng.permutation(mixing.BLOCKS)
+    for passes, room in ((0, 5000), (3, 5000), (40, 5000), (4000, 5000), (1_000_000, 5000)):
+        rest = available // 3
+        uses, width, last = mixing.uses_of(totals, order, passes, rest, room)
+        assert len(uses) <= 2 * room + 2
+        wide = {}
+        for b, (t, _) in totals.items():
+            wide[b // width] = wide.get(b // width, 0) + t
+        seen, reached = set(), 0
+        for b, first, copies in uses:
+            assert all((b, c) not in seen for c in (first, first + copies - 1))
+            seen |= {(b, first), (b, first + copies - 1)}
+            reached += wide[b] * copies
+        if last:
+            reached += last[1] - wide[last[0]]
+        assert reached == passes * available + rest
+
+
+def test_a_tiny_source_repeated_very_often(spark):
+    rows = [(1, "one two three four", "tiny"), (2, "five six", "tiny")] + [(10 + i, "word " * 50, "big") for i in range(40)]
+    w = weights(spark, [("tiny", 0.5, 1_000_000), ("big", 0.5, 1)])
+    mixed = mixing.mix(documents(spark, rows), w, total_tokens=4000)
+    told = {r.source: r for r in mixing.shares(mixed).collect()}
+    assert told["tiny"].reachable and told["tiny"].tokens_wanted - told["tiny"].tokens_reached <= 6
+    assert mixed.sample.groupBy("doc_id", "copy_no").count().where("count > 1").count() == 0
+
+
+def test_invariants_of_the_sample(spark, corpus):
+    mixed = mixing.mix(documents(spark, corpus), weights(spark))
+    rows = mixed.sample
+    assert rows.groupBy("doc_id", "copy_no").count().where("count > 1").count() == 0
+    assert rows.rdd.getNumPartitions() == mixing.LEAST_SHARDS
+    reached = {r.source: r.t for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    for r in mixed.report.collect():
+        assert r.tokens_reached == reached.get(r.source, 0) <= r.tokens_quota
+        assert r.tokens_quota - r.tokens_reached <= 50  # to within a document
+        assert r.reachable == (r.target_share * r.total_tokens <= r.max_repeats * r.tokens_available)
