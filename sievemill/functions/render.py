@@ -10,7 +10,7 @@ from random import Random
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievemill.functions import text
+from sievemill.functions import fixed, text
 
 _NONE = "array<string>"
 
@@ -37,8 +37,8 @@ def examples(pool: Column | str) -> Column:
 
 def query_text(summary: Column | str, ids: Column | str) -> Column:
     """What is embedded to look for controls."""
-    head = F.concat(F.lit("Security control to remediate: "), F.coalesce(text.col(summary), F.lit("")))
-    return F.when(F.size(text.col(ids)) > 0, F.concat(head, F.lit(" MITRE ATT&CK techniques: "), F.array_join(text.col(ids), ", "), F.lit("."))).otherwise(head)
+    head = F.concat(F.lit(fixed.QUERY_HEAD), F.coalesce(text.col(summary), F.lit("")))
+    return F.when(F.size(text.col(ids)) > 0, F.concat(head, F.lit(fixed.QUERY_IDS), F.array_join(text.col(ids), ", "), F.lit("."))).otherwise(head)
 
 
 def controls_text(best: Column | str, *lists: Column | str) -> Column:

@@ -61,6 +61,11 @@ def severity_of(x: Column | str) -> Column:
     return F.when(low.isNull(), F.lit("unknown")).when(score.isNotNull() & ~F.isnan(score), banded.otherwise("info")).otherwise(F.coalesce(_ordered(low, fixed.SEVERITY_WORDS), F.lit("unknown")))
 
 
+def severity_of_attribute(x: Column | str) -> Column:
+    """A severity attribute of an extraction by the words of running text; null and blank are unknown."""
+    return severity_in_text(strip(F.coalesce(col(x), F.lit(""))))
+
+
 def severity_in_text(x: Column | str) -> Column:
     return F.coalesce(_ordered(F.lower(col(x)), fixed.SEVERITY_TEXT_WORDS), F.lit("unknown"))
 
@@ -167,13 +172,8 @@ def plain_summary(title: Column | str, cve_ids: Column | str, service_names: Col
     """The sentence made without a model from title, first CVE and first service."""
     name = title_without_score(title)
     cve, service = blank_to_null(F.get(col(cve_ids), F.lit(0))), blank_to_null(F.get(col(service_names), F.lit(0)))
-    text = (
-        F.when(cve.isNotNull() & service.isNotNull(), F.concat(name, F.lit(" affects the "), service, F.lit(" service and is associated with "), cve, F.lit(".")))
-        .when(cve.isNotNull(), F.concat(name, F.lit(" is associated with "), cve, F.lit(".")))
-        .when(service.isNotNull(), F.concat(name, F.lit(" affects the "), service, F.lit(" service.")))
-        .when(name != "", F.concat(name, F.lit(" affects the target system.")))
-        .otherwise(F.lit("The finding indicates a security-relevant condition on the target system."))
-    )
+    filled = lambda form: reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.coalesce(kv[1], F.lit(""))), {"{cve}": cve, "{service}": service, "{title}": name}.items(), F.lit(form))
+    text = F.when(cve.isNotNull() & service.isNotNull(), filled(fixed.PLAIN_BOTH)).when(cve.isNotNull(), filled(fixed.PLAIN_CVE)).when(service.isNotNull(), filled(fixed.PLAIN_SERVICE)).when(name != "", filled(fixed.PLAIN_TITLE)).otherwise(F.lit(fixed.PLAIN_NOTHING))
     return clean_summary(text)
 
 
@@ -198,10 +198,15 @@ def technique_ids(x: Column | str) -> Column:
     return F.array_distinct(F.transform(_all(head, r"(?i)\bT\d{4}(?:\.\d{3})?\b"), F.upper))
 
 
-def tokens(x: Column | str, pattern: str = "[a-z0-9]+") -> Column:
+def tokens(x: Column | str, pattern: str = "[a-z0-9]+", stop: list[str] = fixed.STOPWORDS) -> Column:
     """Distinct words over two characters that are no stop words."""
     found = F.filter(_all(F.lower(col(x)), pattern), lambda w: F.length(w) > 2)
-    return F.array_except(found, F.array(*[F.lit(w) for w in fixed.STOPWORDS]))
+    return F.array_except(found, F.array(*[F.lit(w) for w in stop]))
+
+
+def step_tokens(x: Column | str) -> Column:
+    """Distinct words and paths of a remediation step or its source, without their own stop words."""
+    return tokens(x, r"[a-z0-9\\/.]+", fixed.STEP_STOPWORDS)
 
 
 def root(x: Column | str) -> Column:

@@ -15,7 +15,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def latest(df: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
-    return keep_first(df, keys, [c.desc_nulls_last() for c in by])
+    """One row per key: the greatest `by` values, then the greatest of the other columns in their order; null is least.
+
+    A maximum with map-side combine, not a sort. It reads all columns of `df`, so select those needed before.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max(F.struct(F.struct(*by).alias("_by"), *rest)).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -12,19 +12,24 @@ from sievemill.functions import fixed, text
 from sievemill.operators.common import top_n
 
 
+def _of_candidates(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Edges of the controls among the candidates; their ids are at most k per finding, and the optimizer picks the join."""
+    return edges.join(candidates.select("control_id").distinct(), "control_id", "left_semi")
+
+
 def structural_match(candidates: DataFrame, mitigates: DataFrame) -> DataFrame:
     """Adds `matched_mitre`: the control's techniques that are among the finding's `mitre_ids`, sorted.
 
-    Matches are pre-aggregated per control before the join, so the candidates are shuffled once and never widened.
+    Only edges of the candidates' controls are aggregated, per control before the join, so candidates are never widened.
     """
-    per_control = mitigates.groupBy("control_id").agg(F.collect_set("technique_id").alias("_techniques"))
+    per_control = _of_candidates(mitigates, candidates).groupBy("control_id").agg(F.collect_set("technique_id").alias("_techniques"))
     joined = candidates.join(per_control, "control_id", "left")
     return joined.withColumn("matched_mitre", F.array_sort(F.coalesce(F.array_intersect("_techniques", "mitre_ids"), F.array().cast("array<string>")))).drop("_techniques")
 
 
 def vendor_match(candidates: DataFrame, provides: DataFrame, allowed: list[str]) -> DataFrame:
     """Adds `vendor` (smallest name) and `vendor_matched`: any vendor equals or holds an allowed name."""
-    per_control = provides.groupBy("control_id").agg(F.array_sort(F.collect_set("vendor_name")).alias("_vendors"))
+    per_control = _of_candidates(provides, candidates).groupBy("control_id").agg(F.array_sort(F.collect_set("vendor_name")).alias("_vendors"))
     names = F.array(*[F.lit(a) for a in allowed]) if allowed else F.array().cast("array<string>")
     joined = candidates.join(per_control, "control_id", "left").withColumn("_vendors", F.coalesce("_vendors", F.array().cast("array<string>")))
     hit = F.exists("_vendors", lambda v: F.exists(names, lambda a: F.contains(F.lower(v), a)))

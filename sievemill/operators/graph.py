@@ -81,14 +81,13 @@ def numbered(df: DataFrame, key: str, name: str = "number") -> DataFrame:
 
     laid = checkpointed(df.repartitionByRange(key).sortWithinPartitions(key)).withColumn("_p", F.spark_partition_id())
     counts = {r["_p"]: r["n"] for r in laid.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    at, offsets = 0, []
+    at, starts = 0, []
     for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(at)]
+        starts.append((p, at))
         at += counts[p]
-    if not offsets:
-        return df.withColumn(name, F.lit(0).cast("long")).limit(0)
-    within = (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
-    return laid.withColumn(name, (F.create_map(*offsets)[F.col("_p")] + within).cast("long")).drop("_p")
+    before = df.sparkSession.createDataFrame(starts, "_p int, _before long")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.withColumn("_in", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_in")).drop("_p", "_in", "_before")
 
 
 def neighbourhood(vendors: DataFrame, provides: DataFrame, mitigates: DataFrame) -> DataFrame:

@@ -42,11 +42,18 @@ def cardinality_stats(rows: DataFrame, tags: str = "tags") -> DataFrame:
     return rows.agg(F.avg(size).alias("mean_tags"), F.max(size).alias("max_tags"), F.count("*").alias("n_rows"))
 
 
-def invalid_rate(rows: DataFrame, valid: Column, tags: str = "tags") -> DataFrame:
-    """Tags, how many are not in the valid list by id or root, and the ratio."""
-    each = rows.select(F.explode(tags).alias("tag"))
-    bad = ~(F.array_contains(valid, F.col("tag")) | F.array_contains(valid, F.split_part("tag", F.lit("."), F.lit(1))))
-    return each.agg(F.count("*").alias("n_tags"), F.count_if(F.col("tag").isNull() | bad).alias("n_bad")).withColumn("bad_share", F.try_divide("n_bad", "n_tags"))
+def invalid_rate(rows: DataFrame, valid: list[str], tags: str = "tags", mapping: Column | None = None, first: int | None = None) -> DataFrame:
+    """Tags, how many are not in the valid list by id or root, and the ratio.
+
+    Ids go through the deprecation map first if one is given; `first` looks at so many rows only, by id.
+    """
+    from sievemill.operators.gates import known
+    from sievemill.operators.remap import remapped
+
+    looked = rows.orderBy("id").limit(first) if first else rows
+    each = looked.select(F.explode(tags).alias("tag"))
+    tag = remapped(F.col("tag"), mapping) if mapping is not None else F.col("tag")
+    return each.agg(F.count("*").alias("n_tags"), F.count_if(F.col("tag").isNull() | ~known(tag, valid)).alias("n_bad")).withColumn("bad_share", F.try_divide("n_bad", "n_tags"))
 
 
 def order_hash(ident: str, seed: int) -> Column:
@@ -76,23 +83,31 @@ def inverse_weights(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rare.select("id", (1 / F.sqrt(F.greatest("least", F.lit(1)))).alias("weight"))
 
 
-def weighted_resample(weighted: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """About n draws with replacement, each row in proportion to its weight: a Poisson count per row, by row hash.
+def weighted_resample(weighted: DataFrame, n: int, start: float = 0.5) -> DataFrame:
+    """id, weight, copies: exactly n draws with replacement, each row in proportion to its weight.
 
-    Counts are independent per row, so nothing is sorted or prefix-summed; the total is n on average.
+    Systematic resampling: rows in order of id lay their weight, scaled to n, on a line, and own the whole numbers (shifted
+    by `start`, 0 to 1) that fall on their part. Running sums are made inside range partitions, whose totals (one number
+    each) come to the driver. Rows without a positive weight are never drawn.
     """
-    total = weighted.agg(F.sum("weight").alias("_t"))
-    joined = weighted.crossJoin(F.broadcast(total)).withColumn("_mean", F.col("weight") / F.col("_t") * n)  # one row
-    u = (F.pmod(order_hash("id", seed), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    first = F.exp(-F.col("_mean"))
-    start = F.struct(first.alias("term"), first.alias("below"), F.lit(0).alias("copies"))
-
-    def step(s: Column, k: Column) -> Column:
-        term = s["term"] * F.col("_mean") / k
-        return F.struct(term.alias("term"), (s["below"] + term).alias("below"), (s["copies"] + F.when(F.col("_u") > s["below"], 1).otherwise(0)).alias("copies"))
-
-    most = F.greatest(F.lit(20), (F.col("_mean") * 3).cast("int"))
-    counted = joined.withColumn("_u", u).withColumn("copies", F.aggregate(F.sequence(F.lit(1), most), start, step)["copies"])
+    from sievemill.operators.state import checkpointed
+
+    laid = checkpointed(weighted.where("weight > 0").repartitionByRange("id").sortWithinPartitions("id")).withColumn("_p", F.spark_partition_id())
+    sums = {r["_p"]: r["w"] for r in laid.groupBy("_p").agg(F.sum("weight").alias("w")).collect()}  # a row per partition
+    total = sum(sums[p] for p in sorted(sums))
+    if not total:
+        return weighted.select("id", "weight", F.lit(0).alias("copies")).limit(0)
+    offsets, at = [], 0.0
+    for p in sorted(sums):
+        offsets.append((p, at))
+        at += sums[p]
+    before = weighted.sparkSession.createDataFrame(offsets, "_p int, _before double")
+    run = F.sum("weight").over(Window.partitionBy("_p").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    lined = laid.join(F.broadcast(before), "_p").withColumn("_end", F.col("_before") + run)
+    # The same running sums bound neighbours, so every whole number belongs to exactly one row; the last one ends at n.
+    last = F.lag("_end").over(Window.partitionBy("_p").orderBy("id"))
+    place = lambda c: F.floor(c / total * n + start - 1e-9)
+    counted = lined.withColumn("copies", (place(F.col("_end")) - place(F.coalesce(last, F.col("_before")))).cast("int"))
     return counted.where("copies > 0").select("id", "weight", "copies")
 
 
@@ -148,6 +163,19 @@ def hash_split(df: DataFrame, ident: str, share: float = 0.15, seed: int = 0) ->
     return df.withColumn("split", F.when(u < share, "holdout").otherwise("train"))
 
 
+def holdout(df: DataFrame, ident: str, share: float = 0.15, order: Column | None = None, seed: int = 0) -> DataFrame:
+    """Adds `split`: exactly floor(share x rows) ids are `holdout`, the first by `order` (a hash of the id by default), then id.
+
+    Rows are numbered in that order by a range sort and one count per partition (`graph.numbered`); ids are unique.
+    """
+    from sievemill.operators.graph import numbered
+
+    by = order if order is not None else order_hash(ident, seed)
+    ranked = numbered(df.withColumn("_key", F.struct(by.alias("o"), F.col(ident).alias("i"))), "_key", "_place")
+    n = int(df.count() * share)
+    return ranked.withColumn("split", F.when(F.col("_place") < n, "holdout").otherwise("train")).drop("_key", "_place")
+
+
 def shards(base: DataFrame, production: DataFrame, copies: int = 4, *more: DataFrame) -> DataFrame:
     """Base rows, each production row `copies` times and any further rows; order by `order_hash` to shuffle."""
     repeated = production.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_c")

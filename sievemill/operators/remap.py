@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import text
 from sievemill.operators.common import keep_first
+from sievemill.operators.gates import known
 
 HOPS = 8
 
@@ -44,17 +45,17 @@ def remapped(t: Column, mapping: Column) -> Column:
     return F.coalesce(mapping[upper], mapping[text.root(upper)], upper)
 
 
-def normal_tags(tags: Column | str, mapping: Column, allowed: Column, most: int = 5) -> Column:
+def normal_tags(tags: Column | str, mapping: Column, allowed: list[str], most: int = 5) -> Column:
     """Ids through the map, allowed by themselves or their root, distinct in order, the first few, sorted by root and id."""
     ids = F.transform(F.coalesce(text.col(tags), F.array().cast("array<string>")), lambda t: remapped(t, mapping))
-    good = F.filter(ids, lambda t: F.startswith(t, F.lit("T")) & (F.array_contains(allowed, t) | F.array_contains(allowed, text.root(t))))
+    good = F.filter(ids, lambda t: F.startswith(t, F.lit("T")) & known(t, allowed))
     first = F.slice(F.array_distinct(good), 1, most)
     return F.transform(F.array_sort(F.transform(first, lambda t: F.struct(text.root(t).alias("r"), t.alias("t")))), lambda s: s["t"])
 
 
-def with_parent(t: Column, allowed: Column) -> Column:
+def with_parent(t: Column, allowed: list[str]) -> Column:
     """The id if allowed, else its root if that is, else null."""
-    return F.when(F.array_contains(allowed, t), t).when(F.array_contains(allowed, text.root(t)), text.root(t))
+    return F.when(t.isin(allowed), t).when(text.root(t).isin(allowed), text.root(t))
 
 
 def allowed_rows(df: DataFrame, key: str, allowed: DataFrame, allowed_key: str) -> DataFrame:

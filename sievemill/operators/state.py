@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.functions import text
 from sievemill.operators.common import top_n
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names; in a temporary one only where it names none."""
-    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from `spark.checkpoint.dir`; a temporary one only on a local master."""
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="sievemill-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievemill-"))
+        sc.setCheckpointDir(where)
+    return where
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for steps that read some of its columns or rows."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pending(work: DataFrame, log: DataFrame, keys: list[str], done: tuple[str, ...] = ("ok",)) -> DataFrame:
     """Work rows without a log row of a status that counts as done; null-safe on the keys."""
     finished = log.where(F.col("status").isin(list(done))).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
@@ -49,5 +69,15 @@ def cache_lookup(keys: DataFrame, cache: DataFrame, key: str = "key", value: str
     return keys.join(stored, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def cache_put(cache: DataFrame, made: DataFrame, key: str = "key", value: str = "summary") -> DataFrame:
+    """The cache with new model summaries: valid ones only, keys it holds already keep their value.
+
+    `made` has key, value and `summary_source`; plain sentences and invalid texts are never stored.
+    """
+    good = made.where((F.col("summary_source") == "model") & F.coalesce(text.valid_summary(value), F.lit(False)) & F.col(key).isNotNull())
+    fresh = good.groupBy(key).agg(F.min(value).alias(value)).join(cache.select(key), key, "left_anti")
+    return cache.select(key, value).unionByName(fresh)
+
+
 def hit_rate(looked_up: DataFrame) -> DataFrame:
     return looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))

@@ -100,9 +100,17 @@ def readiness(collection: DataFrame | None, vector: str, dim: int, least: int) -
 
 
 def technique_findings(mapped: DataFrame) -> DataFrame:
-    """technique_id, n_findings and the finding ids, at most 1,000 lowest per technique; the count holds all."""
-    from sievemill.operators.common import top_n
+    """technique_id, finding_id of every mapped finding, each pair once, with n_findings of the technique.
 
+    Rows rather than one list per technique, as a hot technique may hold a third of all findings.
+    """
     pairs = mapped.select("technique_id", "finding_id").distinct()
-    some = top_n(pairs, ["technique_id"], [F.col("finding_id")], 1000).groupBy("technique_id").agg(F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
-    return pairs.groupBy("technique_id").agg(F.count("*").alias("n_findings")).join(small(some), "technique_id")
+    return pairs.join(pairs.groupBy("technique_id").agg(F.count("*").alias("n_findings")), "technique_id")
+
+
+def run_stats(findings: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Findings that could be mapped (with a summary), that were, and those skipped for want of a summary."""
+    good = text.safe_str("technical_summary") != ""
+    done = mapped.select("finding_id").distinct().withColumn("_done", F.lit(True))
+    joined = findings.join(done, "finding_id", "left")
+    return joined.agg(F.count("*").alias("n_findings"), F.count_if(good & F.col("_done").isNotNull()).alias("n_mapped"), F.count_if(~good).alias("n_skipped"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sievemill.functions import fixed, text
 
 STEP = "array<struct<step_number int, title string, command_or_action string, explanation string, step_type string, ui_breadcrumb string, substeps array<string>>>"
-_PATHS = r"[a-z0-9\\/.]+"
 
 
 def step_text(s: Column) -> Column:
@@ -23,8 +22,8 @@ def _share(part: Column, whole: Column, empty: float) -> Column:
 
 def grounding(steps: str, source: str) -> Column:
     """Share of steps with a word of the source; 0 without steps."""
-    words = text.tokens(source, _PATHS)
-    hits = F.filter(steps, lambda s: F.arrays_overlap(text.tokens(step_text(s), _PATHS), words))
+    words = text.step_tokens(source)
+    hits = F.filter(steps, lambda s: F.arrays_overlap(text.step_tokens(step_text(s)), words))
     return _share(F.size(hits), F.greatest(F.coalesce(F.size(steps), F.lit(0)), F.lit(0)), 0.0)
 
 
@@ -43,8 +42,8 @@ def combined(heuristic: Column, judge: Column | None) -> Column:
 def relevance(steps: str, summary: str, ids: str) -> Column:
     """Mean of the summary's words that the steps hold and of the ids that they name."""
     whole = F.array_join(F.transform(steps, step_text), " ")
-    words = text.tokens(summary, _PATHS)
-    recall = _share(F.size(F.array_intersect(words, text.tokens(whole, _PATHS))), F.size(words), 0.0)
+    words = text.step_tokens(summary)
+    recall = _share(F.size(F.array_intersect(words, text.step_tokens(whole))), F.size(words), 0.0)
     named = F.size(F.filter(ids, lambda t: F.contains(F.upper(whole), F.upper(t))))
     mention = _share(named, F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.lit(0)), 1.0)
     return F.when(F.size(steps) > 0, (recall + mention) / 2).otherwise(0.0)
@@ -58,32 +57,66 @@ def top_controls(best: str, vendor: str, framework: str, n: int = 3) -> Column:
 
 
 def completeness(top: Column, references: str, lifted: Column | None = None) -> Column:
-    """Share of top controls that prefix a referenced id or are prefixed by one; 1 without any."""
+    """Share of top controls that prefix a referenced id or are prefixed by one; 1 without any.
+
+    Where `lifted` (an output from a search that names its limitations) none at all still counts as the threshold.
+    """
     hits = F.filter(top, lambda c: F.exists(references, lambda r: F.startswith(c, r) | F.startswith(r, c)))
     score = _share(F.size(hits), F.size(top), 1.0)
-    return score if lifted is None else F.when(lifted, F.greatest(score, F.lit(fixed.PASS_COMPLETENESS))).otherwise(score)
+    return score if lifted is None else F.when(F.coalesce(lifted, F.lit(False)) & (F.size(hits) == 0), F.greatest(score, F.lit(fixed.PASS_COMPLETENESS))).otherwise(score)
 
 
 def substeps(steps: str) -> Column:
     return _share(F.size(F.filter(steps, lambda s: F.size(s["substeps"]) > 0)), F.greatest(F.coalesce(F.size(steps), F.lit(0)), F.lit(0)), 0.0)
 
 
+def _note(check: str, severity: str, message: Column) -> Column:
+    return F.concat(F.lit(f"[{check}/{severity}] "), message)
+
+
 def substep_issues(steps: str) -> Column:
-    """Warnings per step: few substeps, no place in the interface (not for commands), no confirmation."""
-    few = F.transform(F.filter(steps, lambda s: F.coalesce(F.size(s["substeps"]), F.lit(0)) < 3), lambda s: F.concat(F.lit("Step "), s["step_number"].cast("string"), F.lit(": fewer than 3 substeps")))
+    """Per step, in order: few substeps, no place in the interface (not for commands), no confirmation among substeps."""
+    subs = lambda s: F.coalesce(s["substeps"], F.array().cast("array<string>"))
     command = lambda s: F.coalesce(F.trim(s["command_or_action"]).rlike(fixed.CLI_STEP), F.lit(False))
-    lost = F.transform(F.filter(steps, lambda s: ~command(s) & (F.coalesce(s["ui_breadcrumb"], F.lit("")) == "")), lambda s: F.concat(F.lit("Step "), s["step_number"].cast("string"), F.lit(": no breadcrumb")))
-    sure = lambda s: F.exists(F.coalesce(s["substeps"], F.array().cast("array<string>")), lambda x: x.rlike(fixed.CONFIRMATION))
-    unsure = F.transform(F.filter(steps, lambda s: ~sure(s)), lambda s: F.concat(F.lit("Step "), s["step_number"].cast("string"), F.lit(": no confirmation")))
-    return F.concat(few, lost, unsure)
+    sure = lambda s: F.exists(subs(s), lambda x: x.rlike(fixed.CONFIRMATION))
+    of_step = lambda s, told: F.concat(F.lit("Step "), s["step_number"].cast("string"), F.lit(told))
+
+    def notes(s: Column) -> Column:
+        few = F.when(F.size(subs(s)) == 0, _note("substep_quality", "error", of_step(s, ": no substeps"))).when(F.size(subs(s)) < 3, _note("substep_quality", "warning", of_step(s, ": fewer than 3 substeps")))
+        lost = F.when(~command(s) & (F.coalesce(s["ui_breadcrumb"], F.lit("")) == ""), _note("substep_quality", "warning", of_step(s, ": no breadcrumb")))
+        unsure = F.when((F.size(subs(s)) > 0) & ~sure(s), _note("substep_quality", "warning", of_step(s, ": no confirmation")))
+        return F.array_compact(F.array(few, lost, unsure))
+
+    return F.flatten(F.transform(steps, notes))
 
 
-def verdict(df: DataFrame, *, steps: str = "steps", source: str = "source", summary: str = "summary", ids: str = "mitre_ids", best: str = "best", vendor: str = "vendor_ids", framework: str = "framework_ids", references: str = "references", judge: Column | None = None) -> DataFrame:
-    """Adds the four scores (rounded to 4), `passed` on the unrounded ones, and the substep issues."""
+def issues(steps: str, source: str, summary: str, ids: str, top: Column, references: str) -> Column:
+    """What each check has to say, as `[check/severity] message` in the order of the checks; made for the next attempt."""
+    none = F.array().cast("array<string>")
+    empty = F.array(*[_note(c, "error", F.lit("no steps")) for c in ("grounding", "relevance", "substep_quality")])
+    words = text.step_tokens(source)
+    loose = F.transform(F.filter(steps, lambda s: ~F.arrays_overlap(text.step_tokens(step_text(s)), words)), lambda s: _note("grounding", "warning", F.concat(F.lit("Step "), s["step_number"].cast("string"), F.lit(": no word of the source controls"))))
+    whole = F.array_join(F.transform(steps, step_text), " ")
+    asked = text.step_tokens(summary)
+    recall = _share(F.size(F.array_intersect(asked, text.step_tokens(whole))), F.size(asked), 0.0)
+    low = F.when(recall < 0.1, F.array(_note("relevance", "warning", F.lit("few words of the summary in the steps")))).otherwise(none)
+    missing = F.filter(F.coalesce(ids, none), lambda t: ~F.contains(F.upper(whole), F.upper(t)))
+    unnamed = F.when(F.size(missing) > 0, F.array(_note("relevance", "warning", F.concat(F.lit("techniques not named: "), F.array_join(missing, ", "))))).otherwise(none)
+    unused = F.filter(top, lambda c: ~F.exists(F.coalesce(references, none), lambda r: F.startswith(c, r) | F.startswith(r, c)))
+    left = F.when(F.size(unused) > 0, F.array(_note("completeness", "warning", F.concat(F.lit("top controls not used: "), F.array_join(unused, "; "))))).otherwise(none)
+    return F.when(F.size(steps) > 0, F.concat(loose, low, unnamed, left, substep_issues(steps))).otherwise(F.concat(empty, left))
+
+
+def verdict(df: DataFrame, *, steps: str = "steps", source: str = "source", summary: str = "summary", ids: str = "mitre_ids", best: str = "best", vendor: str = "vendor_ids", framework: str = "framework_ids", references: str = "references", judge: Column | None = None, lifted: Column | None = None) -> DataFrame:
+    """Adds the four scores (rounded to 4), `passed` on the unrounded ones, and `issues` of all checks.
+
+    `lifted` marks outputs that searched beyond the graph and name their limitations (see `completeness`).
+    """
+    top = top_controls(best, vendor, framework)
     scores = {
         "grounding": (combined(grounding(steps, source), judge), fixed.PASS_GROUNDING),
         "relevance": (relevance(steps, summary, ids), fixed.PASS_RELEVANCE),
-        "completeness": (completeness(top_controls(best, vendor, framework), references), fixed.PASS_COMPLETENESS),
+        "completeness": (completeness(top, references, lifted), fixed.PASS_COMPLETENESS),
         "substep_quality": (substeps(steps), fixed.PASS_SUBSTEPS),
     }
     made = df
@@ -92,7 +125,7 @@ def verdict(df: DataFrame, *, steps: str = "steps", source: str = "source", summ
     passed = F.lit(True)
     for name, (_, least) in scores.items():
         passed = passed & (F.col(f"_{name}") >= least)
-    made = made.withColumn("passed", passed).withColumn("issues", substep_issues(steps))
+    made = made.withColumn("passed", passed).withColumn("issues", issues(steps, source, summary, ids, top, references))
     for name in scores:
         made = made.withColumn(name, F.round(f"_{name}", 4)).drop(f"_{name}")
     return made
@@ -101,15 +134,17 @@ def verdict(df: DataFrame, *, steps: str = "steps", source: str = "source", summ
 def retried(rows: DataFrame, generate: Callable[[DataFrame, int], DataFrame], check: Callable[[DataFrame], DataFrame], retries: int = 2) -> DataFrame:
     """Generates and checks; rows that fail are generated again, up to `retries` times. Adds `attempts`.
 
-    Each pass covers only the rows that failed the one before; the last attempt stays, passed or not.
+    Each pass covers only the rows that failed the one before and hands their `issues` (null at first) to `generate`;
+    the last attempt stays, passed or not.
     """
     from sievemill.operators.state import checkpointed
 
-    done, todo = None, rows
+    own = [c for c in rows.columns if c != "issues"]
+    done, todo = None, rows.select(*own, F.lit(None).cast("array<string>").alias("issues"))
     for attempt in range(retries + 1):
         checked = checkpointed(check(generate(todo, attempt)).withColumn("attempts", F.lit(attempt + 1)))
         final = checked if attempt == retries else checked.where("passed")
         done = final if done is None else done.unionByName(final)
         if attempt < retries:
-            todo = checked.where("NOT passed").select(*rows.columns)
+            todo = checked.where("NOT passed").select(*own, "issues")
     return done

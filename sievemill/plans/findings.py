@@ -157,13 +157,13 @@ def id_frequency(spark: SparkSession, d: str) -> DataFrame:
 )
 def known_ids(spark: SparkSession, d: str) -> DataFrame:
     ids = mapped(spark, d).select("mapping_id", F.explode(text.normal_ids("mitre_ids")).alias("t"))
-    registry = gates.registry_column(table(spark, d, "label_targets"), "technique_id")
+    registry = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
     return ids.groupBy("mapping_id").agg(F.count_if(gates.known(F.col("t"), registry)).alias("n_known"), F.count_if(~gates.known(F.col("t"), registry)).alias("n_unknown"))
 
 
 @query(None)
 def validated_mappings(spark: SparkSession, d: str) -> DataFrame:
-    registry = gates.registry_column(table(spark, d, "label_targets"), "technique_id")
+    registry = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
     return gates.validate(mapped(spark, d).select("mapping_id", "mitre_ids", "finding_summary"), "mitre_ids", "finding_summary", registry).drop("mitre_ids", "finding_summary")
 
 
@@ -175,7 +175,7 @@ _C2 = r"regexp_matches(coalesce(finding_summary, ''), '(?i)\b(c2|command and con
 
 @query(f"WITH {MAPPED}, r AS (SELECT mapping_id, finding_summary, mitre_ids, {_REG} AS reg FROM mapped), g AS (SELECT mapping_id, {_C2} AS c2, {_KEPT} AS ids FROM r), h AS (SELECT mapping_id, CASE WHEN c2 THEN ids ELSE list_filter(ids, lambda x: split_part(x, '.', 1) <> 'T1102') END AS ids FROM g) SELECT mapping_id, ids[1:5] AS accepted FROM h")
 def gate_accepted(spark: SparkSession, d: str) -> DataFrame:
-    registry = gates.registry_column(table(spark, d, "label_targets"), "technique_id")
+    registry = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
     return gates.validate(mapped(spark, d), "mitre_ids", "finding_summary", registry, fallback=False).select("mapping_id", "accepted")
 
 
@@ -187,7 +187,7 @@ def answer_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def remapped_ids(spark: SparkSession, d: str) -> DataFrame:
     pairs = spark.createDataFrame([("T1599", "T1557"), ("T1200", "T1599"), ("T1602", "T1602")], "old string, new string").where("old <> new")
-    allowed = gates.registry_column(table(spark, d, "label_targets"), "technique_id")
+    allowed = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
     return mapped(spark, d).select("mapping_id", remap.normal_tags("mitre_ids", remap.map_column(pairs), allowed).alias("tags"))
 
 

@@ -53,9 +53,9 @@ def label_cardinality_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ROWS}, t AS (SELECT list(technique_id) AS ok FROM label_targets) SELECT count(*) AS n_tags, count(*) FILTER (NOT (list_contains(ok, tag) OR list_contains(ok, split_part(tag, '.', 1)))) AS n_bad, round(count(*) FILTER (NOT (list_contains(ok, tag) OR list_contains(ok, split_part(tag, '.', 1)))) / count(*), 6) AS bad_share FROM flat, t")
 def invalid_labels(spark: SparkSession, d: str) -> DataFrame:
-    from sievemill.operators.gates import registry_column
+    from sievemill.operators.gates import registry_ids
 
-    return labels.invalid_rate(rows(spark, d), registry_column(table(spark, d, "label_targets"), "technique_id")).withColumn("bad_share", F.round("bad_share", 6))
+    return labels.invalid_rate(rows(spark, d), registry_ids(table(spark, d, "label_targets"), "technique_id")).withColumn("bad_share", F.round("bad_share", 6))
 
 
 _ORDER = "(id * 7919) % 104729"

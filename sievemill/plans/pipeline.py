@@ -43,7 +43,7 @@ def run(findings: DataFrame, mapped: DataFrame, registry: DataFrame, controls: D
     """
     told = summarized(live_findings(findings), summarizer).select("finding_id", "technical_summary", "summary_source")
     asked = told.join(live_mappings(mapped), "finding_id", "left")
-    labelled = gates.validate(asked, "mitre_ids", "technical_summary", gates.registry_column(registry, "technique_id"))
+    labelled = gates.validate(asked, "mitre_ids", "technical_summary", gates.registry_ids(registry, "technique_id"))
     wanted = labelled.where((F.size("accepted") > 0) & (text.safe_str("technical_summary") != ""))
     united = wanted.groupBy("finding_id", "technical_summary").agg(F.array_distinct(F.flatten(F.sort_array(F.collect_list("accepted")))).alias("mitre_ids"))  # after the gates, whose limit is per mapping
     query = render.query_text("technical_summary", "mitre_ids")

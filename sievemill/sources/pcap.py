@@ -6,13 +6,13 @@ Register with `register(spark)`, then `spark.read.format("capture").load(path)`.
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 import struct
 from collections.abc import Iterator
 from ipaddress import ip_address
 from typing import BinaryIO
 
+from pyarrow import fs as stores
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -115,6 +115,30 @@ def parsed(link: int, data: bytes) -> tuple[str, str, str, int | None] | None:
     return str(ip_address(src)), str(ip_address(dst)), protocol, port
 
 
+def _store(where: str) -> tuple[stores.FileSystem, str]:
+    """The file system of a path or address (local, hdfs://, s3://, ...) and the path in it."""
+    return stores.FileSystem.from_uri(where) if "://" in where else (stores.LocalFileSystem(), where)
+
+
+def captures(where: str) -> list[str]:
+    """Capture files below a folder, those that match a pattern, or the one file, sorted; in the form they were asked for."""
+    head = where[: where.index("://") + 3] if "://" in where else ""
+    store, path = _store(where)
+    rest = where[len(head) :]
+    lead = rest[: len(rest) - len(path)] if rest.endswith(path) else ""
+    found = store.get_file_info(path)
+    if found.type == stores.FileType.File:
+        return [where]
+    if found.type == stores.FileType.Directory:
+        inside = [i.path for i in store.get_file_info(stores.FileSelector(path, recursive=True)) if i.type == stores.FileType.File]
+        names = [p for p in inside if fnmatch.fnmatch(p.rsplit("/", 1)[-1], "*.pcap*")]
+    else:
+        folder = path.rsplit("/", 1)[0] or "/"
+        inside = store.get_file_info(stores.FileSelector(folder, allow_not_found=True))
+        names = [i.path for i in inside if i.type == stores.FileType.File and fnmatch.fnmatch(i.path, path)]
+    return sorted(f"{head}{lead}{p}" for p in names)
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -122,9 +146,8 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        where = options.get("path", "")
         self.most = int(options.get("maxPackets", MAX_PACKETS))
-        self.paths = sorted(glob.glob(os.path.join(where, "**", "*.pcap*"), recursive=True)) if os.path.isdir(where) else sorted(glob.glob(where))
+        self.paths = captures(options.get("path", ""))
 
     def partitions(self):
         return [_File(p) for p in self.paths]
@@ -132,7 +155,8 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         if partition is None:
             return
-        with open(partition.path, "rb") as f:
+        store, path = _store(partition.path)
+        with store.open_input_stream(path, buffer_size=1 << 20) as f:
             for seq, (ts, link, size, data) in enumerate(frames(f)):
                 if self.most and seq >= self.most:
                     return
@@ -142,7 +166,7 @@ class _Reader(DataSourceReader):
 
 
 class CaptureSource(DataSource):
-    """Options: path (file, pattern or folder), maxPackets (0, the default, for all; the plain parser stops at 10,000)."""
+    """Options: path (file, pattern or folder, also of a cluster store), maxPackets (0, the default, for all; the plain parser stops at 10,000)."""
 
     @classmethod
     def name(cls) -> str:

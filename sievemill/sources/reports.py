@@ -8,11 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.functions import text
+from sievemill.functions import fixed, text
 
 PAGE = "path string, page_no int, page_text string, error string"
-HEADER = r"(?i)(?:CRITICAL|HIGH|MEDIUM|LOW)\s+\(CVSS:\s*[\d.]+\)\s*\n\s*NVT:[^\n]+\s*\n"
-LINE = r"(?i)\n\s*(?:CRITICAL|HIGH|MEDIUM|LOW)[:\s]+[^\n]+"
 MARK = "\x1e"
 
 
@@ -53,7 +51,7 @@ def sections(doc: Column | str) -> Column:
         marked = F.split(F.regexp_replace(t, f"({pattern})", f"{MARK}{group}"), MARK)
         return F.filter(F.transform(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), text.strip), lambda s: s != "")
 
-    by_header, by_line = parts(HEADER, "$1"), parts(LINE, "$1")
+    by_header, by_line = parts(fixed.SECTION_HEADER, "$1"), parts(fixed.SECTION_LINE, "$1")
     return F.when(F.size(by_header) > 0, by_header).when(F.size(by_line) > 0, by_line).otherwise(F.array(t))
 
 

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.functions import fixed
+from sievemill.functions import fixed, text
 from sievemill.operators import correlate, dedup, detect, gates, graph, labels, metrics, remap, state, stats, vectors, verify
+from sievemill.operators.common import latest
 
 PACKET = "seq bigint, ts double, src string, dst string, proto string, dst_port int, length int"
 
@@ -30,7 +31,7 @@ def test_summary_row_when_nothing_fires(spark):
 
 
 def registry():
-    return F.array(*[F.lit(t) for t in ("T1102", "T1190", "T1059", "T1003", "T1021", "T1046", "T1053", "T1110")])
+    return ["T1102", "T1190", "T1059", "T1003", "T1021", "T1046", "T1053", "T1110"]
 
 
 @pytest.mark.parametrize(
@@ -113,7 +114,7 @@ def test_remap_chain_and_self(spark):
     pairs = spark.createDataFrame([("T1", "T2"), ("T2", "T3"), ("T5", "T5")], "old string, new string").where("old <> new")
     assert {(r.old, r.new) for r in remap.closed(pairs).collect()} == {("T1", "T3"), ("T2", "T3")}
     ids = F.array(*[F.lit(x) for x in ("t1", "T3", "T9.001", "X1", "T4.002", "T4.001")])
-    allowed = F.array(F.lit("T3"), F.lit("T4"))
+    allowed = ["T3", "T4"]
     got = spark.range(1).select(remap.normal_tags(ids, remap.map_column(pairs), allowed)).first()[0]
     assert got == ["T3", "T4.001", "T4.002"]
     objects = spark.createDataFrame([("attack-pattern", "a", "T1", None, None, None), ("attack-pattern", "b", "T2", None, None, None), ("relationship", "r", None, "revoked-by", "a", "b")], "type string, id string, technique_id string, relationship_type string, source_ref string, target_ref string")
@@ -145,11 +146,15 @@ def test_rebalancing(spark, tagged):
     assert {r.extra for r in labels.frequency_copies(tagged, counts).collect()} == {0, 1, 3}
     weights = labels.inverse_weights(tagged, counts)
     assert abs({r.id: r.weight for r in weights.collect()}[60] - 1 / math.sqrt(3)) < 1e-9
-    n = labels.weighted_resample(weights, 5000).agg(F.sum("copies")).first()[0]
-    assert abs(n - 5000) < 400
+    drawn = {r.id: r.copies for r in labels.weighted_resample(weights, 5000).collect()}
+    share = {r.id: r.weight for r in weights.collect()}
+    total = sum(share.values())
+    assert sum(drawn.values()) == 5000 and all(abs(drawn.get(i, 0) - 5000 * w / total) < 1 + 1e-6 for i, w in share.items())
     found = {r.id: r.partner_id for r in labels.partner(tagged).collect()}
     tags = {r.id: set(r.tags or []) for r in tagged.collect()}
     assert all(p is None or (p != i and tags[p] & tags[i]) for i, p in found.items())
+    exact = labels.holdout(spark.range(997).toDF("id"), "id").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in exact} == {"holdout": 149, "train": 848}
     split = labels.hash_split(spark.range(20_000).toDF("id"), "id").groupBy("split").count().collect()
     assert abs({r.split: r["count"] for r in split}["holdout"] - 3000) < 200
     assert labels.shards(tagged, tagged.limit(2)).count() == tagged.count() + 8
@@ -213,7 +218,7 @@ def test_verification(spark):
     assert (got["good"].grounding, got["good"].relevance, got["good"].completeness, got["good"].substep_quality, got["good"].passed) == (1.0, 1.0, 1.0, 1.0, True)
     assert (got["half"].grounding, got["half"].relevance, got["half"].completeness, got["half"].substep_quality, got["half"].passed) == (0.5, 0.5, 0.3333, 0.5, False)
     assert (got["none"].grounding, got["none"].relevance, got["none"].completeness, got["none"].passed) == (0.0, 0.0, 1.0, False)
-    assert "Step 2: fewer than 3 substeps" in got["half"].issues
+    assert "[substep_quality/error] Step 2: no substeps" in got["half"].issues
     verdicts = spark.createDataFrame([(["SUPPORTED", "partially_supported: x", "NO"],)], "v array<string>").select(verify.judged("v")).first()[0]
     assert verdicts == 0.5
 
@@ -252,7 +257,100 @@ def test_coverage_states(spark):
     vec = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<double>")
     assert (stats.readiness(vec.limit(0), "v", 2, 1), stats.readiness(vec, "v", 2, 5), stats.readiness(vec, "v", 2, 1), stats.readiness(vec.where("v is not null"), "v", 2, 1)) == ("empty", "too few", "wrong size", "ready")
     assert {r.technique_id: r.n_findings for r in stats.technique_findings(mapped).collect()} == {"T1": 1, "T2": 2, "T9": 1}
+    many = spark.range(1500).select(F.lit("T1").alias("technique_id"), F.col("id").cast("string").alias("finding_id"))
+    rows = stats.technique_findings(many.union(many))
+    assert rows.count() == 1500 and {r.n_findings for r in rows.select("n_findings").distinct().collect()} == {1500}
 
 
 def test_fixed_words_are_lower_case():
     assert all(w == w.lower() for words in fixed.TACTIC_WORDS.values() for w in words)
+
+
+STEPS = "k int, " + "steps " + verify.STEP + ", source string, summary string, ids array<string>, top array<string>, refs array<string>, lifted boolean"
+
+
+def step(n, text, *subs, crumb=None, command=None):
+    return (n, text, command or text, "", None, crumb, list(subs))
+
+
+def test_step_words_are_their_own(spark):
+    row = spark.createDataFrame([("Configure the NETWORK port, disable c:\\windows",)], "t string").select(text.step_tokens("t"), text.tokens("t")).first()
+    assert sorted(row[0]) == ["\\windows", "network", "port"]
+    assert "network" not in row[1] and "configure" in row[1]
+
+
+def test_lift_and_issues(spark):
+    rows = [
+        (1, [step(1, "Close the port", "Open it", "Close it", "Verify that it is closed", crumb="Settings")], "close port", "port stays open", ["T1"], ["a"], [], True),
+        (2, [step(1, "Close the port", "Open it")], "other words", "unlike", ["T1"], ["a", "b", "c"], ["a-1"], True),
+        (3, [], "x", "y", [], ["a"], [], None),
+        (4, None, "x", "y", None, ["a"], None, False),
+    ]
+    df = spark.createDataFrame(rows, STEPS)
+    got = {r.k: r for r in df.select("k", verify.completeness(F.col("top"), "refs", F.col("lifted")).alias("c"), verify.issues("steps", "source", "summary", "ids", F.col("top"), "refs").alias("i")).collect()}
+    assert [got[k].c for k in (1, 3)] == [0.5, 0.0] and abs(got[2].c - 1 / 3) < 1e-9
+    assert got[1].i == ["[relevance/warning] techniques not named: T1", "[completeness/warning] top controls not used: a"]
+    assert any(x.startswith("[grounding/warning] Step 1") for x in got[2].i) and "[substep_quality/warning] Step 1: no confirmation" in got[2].i
+    assert "[grounding/error] no steps" in got[3].i and "[grounding/error] no steps" in got[4].i
+
+
+def test_retry_sees_the_issues(spark):
+    seen = []
+
+    def generate(df, attempt):
+        seen.append({r.k: r.issues for r in df.collect()})
+        return df.withColumn("attempt", F.lit(attempt))
+
+    def check(df):
+        return df.drop("issues").withColumn("passed", F.col("k") <= F.col("attempt")).withColumn("issues", F.array(F.concat(F.lit("k "), F.col("k").cast("string"))))
+
+    made = verify.retried(spark.createDataFrame([(0,), (1,), (9,)], "k int"), generate, check, 2)
+    assert {r.k: (r.attempts, r.passed) for r in made.collect()} == {0: (1, True), 1: (2, True), 9: (3, False)}
+    assert seen == [{0: None, 1: None, 9: None}, {1: ["k 1"], 9: ["k 9"]}, {9: ["k 9"]}]
+
+
+def test_latest_breaks_ties_by_the_row(spark):
+    rows = [(1, 5, "b", ["x"]), (1, 5, "a", ["z"]), (1, None, "z", None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, at int, t string, l array<string>")
+    for made in (df, df.repartition(3)):
+        assert sorted(map(tuple, latest(made, ["id"], [F.col("at")]).collect())) == [(1, 5, "b", ["x"]), (2, None, None, None)]
+
+
+def test_vector_dimension_is_the_common_one(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.0, 0.0])], "i long, v array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 0.1]), (11, [1.0, 2.0, 3.0])], "q long, w array<double>")
+    for block in (100, 2, 1):
+        got = vectors.top_k(queries, items, 2, query_key="q", item_key="i", query_vector="w", item_vector="v", block=block).collect()
+        assert [(r.q, r.i, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(10, 1, 1), (10, 2, 2)]
+    none = items.where("i > 100")
+    assert vectors.top_k(none.withColumnRenamed("i", "q"), none, 2, query_key="q", item_key="i", query_vector="v", item_vector="v").collect() == []
+
+
+def test_vector_blocks_agree_with_brute_force(spark):
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(40, 8)), rng.normal(size=(300, 8))
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], "q long, w array<float>")
+    t = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(b)], "i long, v array<float>").repartition(5)
+    sim = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    want = {(i, int(j)) for i in range(40) for j in np.argsort(-sim[i])[:7]}
+    for block in (1000, 16):
+        got = vectors.top_k(q, t, 7, query_key="q", item_key="i", query_vector="w", item_vector="v", block=block).collect()
+        assert {(r.q, r.i) for r in got} == want
+
+
+def test_cache_takes_valid_model_summaries_only(spark):
+    good, other = "The remote service accepts weak ciphers on its port.", "The remote service leaks the names of its users."
+    cache = spark.createDataFrame([("k1", good)], "key string, summary string")
+    made = spark.createDataFrame([("k1", other, "model"), ("k2", other, "model"), ("k3", other, "plain"), ("k4", "bad", "model"), (None, other, "model"), ("k2", other, "model")], "key string, summary string, summary_source string")
+    assert sorted(map(tuple, state.cache_put(cache, made).collect())) == [("k1", good), ("k2", other)]
+
+
+def test_registry_joins(spark):
+    registry = spark.createDataFrame([("t1059",), ("T1190",), (None,)], "t string")
+    assert gates.registry_ids(registry, "t") == ["T1059", "T1190"]
+    with pytest.raises(ValueError):
+        gates.registry_ids(registry, "t", most=1)
+    rows = spark.createDataFrame([(1, ["T1059.001", "T1190", "T9999", None]), (2, []), (3, None)], "k int, ids array<string>")
+    assert {r.k: r.known_ids for r in gates.known_by_join(rows, "k", "ids", registry, "t").collect()} == {1: ["T1059.001", "T1190"], 2: [], 3: []}
+    objects = spark.createDataFrame([("attack-pattern", "T1", False, None), ("attack-pattern", "t1", None, None), ("attack-pattern", "T2", True, None), ("attack-pattern", "T3", None, True), ("malware", "T4", None, None)], "type string, technique_id string, revoked boolean, x_mitre_deprecated boolean")
+    assert [r.technique_id for r in gates.bundle_ids(objects).collect()] == ["T1"]

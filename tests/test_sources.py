@@ -35,7 +35,7 @@ def test_csv_log_style_and_latin1(spark, tmp_path):
     fields = csvs.aliases(rows.columns)
     assert csvs.is_log(fields) and fields["source_ip"] == "src_ip"
     got = csvs.findings(rows).first()
-    assert got.title == "déni 10.0.0.1 -> 10.0.0.2" and str(got.timestamp_observed) == "2024-01-02 03:04:05"
+    assert got.title == "From: 10.0.0.1 | To: 10.0.0.2 | Action: déni" and got.description.startswith("event_time: 2024-01-02T03:04:05 | src_ip: 10.0.0.1") and str(got.timestamp_observed) == "2024-01-02 03:04:05"
 
 
 def frame(src, dst, number, port, size=60):
