@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import fixed, text
-from sievemill.operators import dedup, detect, gates, remap, stats
+from sievemill.operators import dedup, detect, gates, stats
 from sievemill.operators.common import latest, top_n
 from sievemill.plans.registry import query, table
 
@@ -18,23 +18,29 @@ FLOWS = (
 )
 
 
-def live(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "findings"), ["finding_id"], [F.col("ingested_at")])
+def live(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Findings by their latest delivery, with the named columns (all by default)."""
+    rows = table(spark, d, "findings")
+    kept = rows.select("finding_id", "ingested_at", *columns) if columns else rows
+    return latest(kept, ["finding_id"], [F.col("ingested_at")])
 
 
-def mapped(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "mappings"), ["mapping_id"], [F.col("mapped_at")])
+def mapped(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Mappings by their latest delivery, with the named columns (all by default)."""
+    rows = table(spark, d, "mappings")
+    kept = rows.select("mapping_id", "mapped_at", *columns) if columns else rows
+    return latest(kept, ["mapping_id"], [F.col("mapped_at")])
 
 
 def flows(spark: SparkSession, d: str) -> DataFrame:
     """Network findings as packet rows."""
     port = F.split_part(F.get("ports", F.lit(0)), F.lit("/"), F.lit(1)).try_cast("int")
-    return live(spark, d).where("source_ip IS NOT NULL").select("finding_id", F.col("source_ip").alias("src"), F.col("destination_ip").alias("dst"), F.upper(F.trim("protocol")).alias("proto"), port.alias("dst_port"), F.char_length("description").alias("length"), F.col("row_no").cast("bigint").alias("seq"))
+    return live(spark, d, "ports", "source_ip", "destination_ip", "protocol", "description", "row_no").where("source_ip IS NOT NULL").select("finding_id", F.col("source_ip").alias("src"), F.col("destination_ip").alias("dst"), F.upper(F.trim("protocol")).alias("proto"), port.alias("dst_port"), F.char_length("description").alias("length"), F.col("row_no").cast("bigint").alias("seq"))
 
 
 @query(f"WITH {LIVE} SELECT packet_id, count(*) AS finding_count, count(*) FILTER (lower(trim(severity)) = 'critical') AS critical_count, count(*) FILTER (lower(trim(severity)) = 'high') AS high_count FROM live GROUP BY 1")
 def packet_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.packet_counts(live(spark, d))
+    return stats.packet_counts(live(spark, d, "packet_id", "severity"))
 
 
 @query(
@@ -43,7 +49,7 @@ def packet_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def stale_packet_counts(spark: SparkSession, d: str) -> DataFrame:
     told = table(spark, d, "packets").groupBy("packet_id").agg(F.max_by(F.coalesce("finding_count", F.lit(-1)), F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("told"))
-    own = live(spark, d).groupBy("packet_id").agg(F.count("*").alias("n"))
+    own = live(spark, d, "packet_id").groupBy("packet_id").agg(F.count("*").alias("n"))
     return told.join(own, "packet_id", "left").select("packet_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_findings"), "told").where("told <> n_findings").drop("told")
 
 
@@ -96,13 +102,13 @@ _BANDS = "CASE WHEN s >= 9 THEN 'critical' WHEN s >= 7 THEN 'high' WHEN s >= 4 T
     f"WHEN t LIKE '%info%' THEN 'info' ELSE 'unknown' END AS told, CASE WHEN s IS NULL THEN 'unknown' ELSE {_BANDS} END AS scored, count(*) AS n_findings FROM c GROUP BY 1, 2"
 )
 def severity_agreement(spark: SparkSession, d: str) -> DataFrame:
-    rows = live(spark, d).select(text.severity_of("severity").alias("told"), text.severity_of(F.col("cvss_score").cast("string")).alias("scored"))
+    rows = live(spark, d, "severity", "cvss_score").select(text.severity_of("severity").alias("told"), text.severity_of(F.col("cvss_score").cast("string")).alias("scored"))
     return rows.groupBy("told", "scored").agg(F.count("*").alias("n_findings"))
 
 
 @query(rf"WITH {MAPPED} SELECT mapping_id, list_sort(list_distinct(regexp_extract_all(finding_summary, '(?i)CVE-\d{{4}}-\d{{4,}}'))) AS cves FROM mapped WHERE len(regexp_extract_all(finding_summary, '(?i)CVE-\d{{4}}-\d{{4,}}')) > 0")
 def text_cves(spark: SparkSession, d: str) -> DataFrame:
-    return mapped(spark, d).select("mapping_id", text.cves("finding_summary").alias("cves")).where(F.size("cves") > 0)
+    return mapped(spark, d, "finding_summary").select("mapping_id", text.cves("finding_summary").alias("cves")).where(F.size("cves") > 0)
 
 
 @query(
@@ -112,7 +118,7 @@ def text_cves(spark: SparkSession, d: str) -> DataFrame:
 )
 def parser_comparison(spark: SparkSession, d: str) -> DataFrame:
     parser = table(spark, d, "packets").groupBy("packet_id").agg(F.any_value(F.coalesce("parser_metadata.parser_name", F.lit("unknown"))).alias("parser"))
-    made = stats.parser_comparison(live(spark, d).join(parser, "packet_id"), "parser")
+    made = stats.parser_comparison(live(spark, d, "packet_id", "severity", "cvss_score", "cve_ids", "affected_assets").join(parser, "packet_id"), "parser")
     return made.select("parser", "n_findings", "n_critical", F.round("score_share", 6).alias("score_share"), "n_cves")
 
 
@@ -129,18 +135,12 @@ _PLAIN = (
 
 @query(f"WITH {LIVE} SELECT finding_id, {_PLAIN} AS title FROM live")
 def normal_titles(spark: SparkSession, d: str) -> DataFrame:
-    return live(spark, d).select("finding_id", text.title_without_score("title").alias("title"))
-
-
-@query(None)
-def plain_summaries(spark: SparkSession, d: str) -> DataFrame:
-    made = live(spark, d).select("finding_id", text.plain_summary("title", "cve_ids", "services").alias("technical_summary"))
-    return made.withColumn("is_valid", text.valid_summary("technical_summary"))
+    return live(spark, d, "title").select("finding_id", text.title_without_score("title").alias("title"))
 
 
 @query(f"WITH {MAPPED} SELECT count(*) FILTER (validation_passed) AS n_valid, count(*) FILTER (NOT validation_passed) AS n_failed, count(*) FILTER (coalesce(len(mitre_ids), 0) = 0) AS n_empty, count(*) AS n_rows FROM mapped")
 def mapping_review(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mapping_review(mapped(spark, d))
+    return stats.mapping_review(mapped(spark, d, "mitre_ids", "validation_passed"))
 
 
 _IDS = r"list_distinct(list_filter(list_transform(mitre_ids, lambda x: upper(trim(x))), lambda x: regexp_matches(x, '^T\d{4}(\.\d{3})?$')))"
@@ -148,7 +148,7 @@ _IDS = r"list_distinct(list_filter(list_transform(mitre_ids, lambda x: upper(tri
 
 @query(f"WITH {MAPPED} SELECT t AS technique_id, count(*) AS n_rows FROM (SELECT unnest({_IDS}) AS t FROM mapped) GROUP BY 1")
 def id_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return stats.id_frequency(mapped(spark, d))
+    return stats.id_frequency(mapped(spark, d, "mitre_ids"))
 
 
 @query(
@@ -156,17 +156,11 @@ def id_frequency(spark: SparkSession, d: str) -> DataFrame:
     "SELECT mapping_id, good::BIGINT AS n_known, (n - good)::BIGINT AS n_unknown FROM k"
 )
 def known_ids(spark: SparkSession, d: str) -> DataFrame:
-    ids = mapped(spark, d).select("mapping_id", F.explode(text.normal_ids("mitre_ids")).alias("t"))
+    ids = mapped(spark, d, "mitre_ids").select("mapping_id", F.explode(text.normal_ids("mitre_ids")).alias("t"))
     registry = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
     return ids.groupBy("mapping_id").agg(F.count_if(gates.known(F.col("t"), registry)).alias("n_known"), F.count_if(~gates.known(F.col("t"), registry)).alias("n_unknown"))
 
 
-@query(None)
-def validated_mappings(spark: SparkSession, d: str) -> DataFrame:
-    registry = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
-    return gates.validate(mapped(spark, d).select("mapping_id", "mitre_ids", "finding_summary"), "mitre_ids", "finding_summary", registry).drop("mitre_ids", "finding_summary")
-
-
 _UP = "list_transform(coalesce(mitre_ids, []), lambda x: upper(trim(x)))"
 _REG = "(SELECT list(technique_id) FROM label_targets)"
 _KEPT = f"list_filter({_UP}, lambda x, i: regexp_matches(x, '^T\\d{{4}}(\\.\\d{{3}})?$') AND (list_contains(reg, x) OR list_contains(reg, split_part(x, '.', 1))) AND list_position({_UP}, x) = i)"
@@ -176,19 +170,12 @@ _C2 = r"regexp_matches(coalesce(finding_summary, ''), '(?i)\b(c2|command and con
 @query(f"WITH {MAPPED}, r AS (SELECT mapping_id, finding_summary, mitre_ids, {_REG} AS reg FROM mapped), g AS (SELECT mapping_id, {_C2} AS c2, {_KEPT} AS ids FROM r), h AS (SELECT mapping_id, CASE WHEN c2 THEN ids ELSE list_filter(ids, lambda x: split_part(x, '.', 1) <> 'T1102') END AS ids FROM g) SELECT mapping_id, ids[1:5] AS accepted FROM h")
 def gate_accepted(spark: SparkSession, d: str) -> DataFrame:
     registry = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
-    return gates.validate(mapped(spark, d), "mitre_ids", "finding_summary", registry, fallback=False).select("mapping_id", "accepted")
+    return gates.validate(mapped(spark, d, "mitre_ids", "finding_summary"), "mitre_ids", "finding_summary", registry, fallback=False).select("mapping_id", "accepted")
 
 
 @query(f"WITH {MAPPED} SELECT mapping_id, list_distinct(list_transform(regexp_extract_all(split_part(coalesce(raw_model_output, ''), ']', 1), '(?i)\\bT\\d{{4}}(?:\\.\\d{{3}})?\\b'), lambda x: upper(x))) AS ids_unordered FROM mapped".replace("ids_unordered", "ids").replace("list_distinct(", "list_sort(list_distinct(").replace("upper(x)))", "upper(x))))"))
 def answer_ids(spark: SparkSession, d: str) -> DataFrame:
-    return mapped(spark, d).select("mapping_id", F.array_sort(text.technique_ids("raw_model_output")).alias("ids"))
-
-
-@query(None)
-def remapped_ids(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([("T1599", "T1557"), ("T1200", "T1599"), ("T1602", "T1602")], "old string, new string").where("old <> new")
-    allowed = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
-    return mapped(spark, d).select("mapping_id", remap.normal_tags("mitre_ids", remap.map_column(pairs), allowed).alias("tags"))
+    return mapped(spark, d, "raw_model_output").select("mapping_id", F.array_sort(text.technique_ids("raw_model_output")).alias("ids"))
 
 
 @query(
@@ -202,7 +189,7 @@ def seed_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LIVE} SELECT packet_id, finding_id, rank::INTEGER AS rank FROM (SELECT packet_id, finding_id, row_number() OVER (PARTITION BY packet_id ORDER BY row_no, finding_id) AS rank FROM live) WHERE rank <= 3")
 def first_findings(spark: SparkSession, d: str) -> DataFrame:
-    return top_n(live(spark, d).select("packet_id", "finding_id", "row_no"), ["packet_id"], [F.col("row_no"), F.col("finding_id")], 3).select("packet_id", "finding_id", "rank")
+    return top_n(live(spark, d, "packet_id", "row_no").select("packet_id", "finding_id", "row_no"), ["packet_id"], [F.col("row_no"), F.col("finding_id")], 3).select("packet_id", "finding_id", "rank")
 
 
 @query(
@@ -212,8 +199,8 @@ def first_findings(spark: SparkSession, d: str) -> DataFrame:
     "SELECT *, CASE WHEN n_findings = 0 THEN 'neutral' WHEN n_findings = n_remediated THEN 'green' ELSE 'red' END AS state FROM u"
 )
 def technique_coverage(spark: SparkSession, d: str) -> DataFrame:
-    pairs = mapped(spark, d).select("finding_id", F.explode(text.normal_ids("mitre_ids")).alias("technique_id"))
-    done = live(spark, d).where(F.size("recommendations") > 0).select("finding_id")
+    pairs = mapped(spark, d, "finding_id", "mitre_ids").select("finding_id", F.explode(text.normal_ids("mitre_ids")).alias("technique_id"))
+    done = live(spark, d, "recommendations").where(F.size("recommendations") > 0).select("finding_id")
     catalog = table(spark, d, "label_targets").select("technique_id", F.lit("catalog").alias("tactic"))
     return stats.coverage(catalog, pairs, done)
 

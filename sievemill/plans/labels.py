@@ -17,7 +17,7 @@ ROWS = (
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    one = latest(table(spark, d, "reports"), ["report_id"], [F.col("added_at")])
+    one = latest(table(spark, d, "reports").select("report_id", "added_at", "mitre_ids"), ["report_id"], [F.col("added_at")])
     return one.select(F.col("report_id").alias("id"), text.normal_ids("mitre_ids").alias("tags"))
 
 
@@ -115,7 +115,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     ids = F.transform(F.coalesce("mitre_ids", F.array().cast("array<string>")), lambda t: text.root(F.trim(t)))
     gold = F.array_distinct(F.filter(ids, lambda t: t.rlike(r"^T\d{4}$")))
     pred = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("raw_model_output", F.lit("")), F.lit(r"(?i)\bT\d{4}"), F.lit(0)), F.upper))
-    return mapped(spark, d).select(F.col("mapping_id").alias("id"), gold.alias("gold"), pred.alias("pred"))
+    return mapped(spark, d, "mitre_ids", "raw_model_output").select(F.col("mapping_id").alias("id"), gold.alias("gold"), pred.alias("pred"))
 
 
 @query(f"WITH {PAIRS} SELECT label, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support FROM l")
