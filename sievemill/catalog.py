@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemill.plans import correlation, extraction, findings, labels  # noqa: F401  (they register their queries)
+from sievemill.plans import correlation, extraction, findings, labels, structure  # noqa: F401  (they register their queries)
 from sievemill.plans.registry import QUERIES, SQL, Query
 
 

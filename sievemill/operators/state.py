@@ -81,3 +81,31 @@ def cache_put(cache: DataFrame, made: DataFrame, key: str = "key", value: str =
 
 def hit_rate(looked_up: DataFrame) -> DataFrame:
     return looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))
+
+
+def mapper_input(findings: DataFrame) -> DataFrame:
+    """What the mapper is asked with: summary, source metadata, score, title, ids, services, ports.
+
+    The score falls back to the CVSS score; metadata holds only values that are there; a null title is empty and null lists
+    are. Findings without a summary are left out (`stats.run_stats` counts them).
+    """
+    none = F.array().cast("array<string>")
+    own = findings.columns
+    col = lambda c, kind="string": F.col(c) if c in own else F.lit(None).cast(kind)
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), col(k).alias("value")) for k in ("hostname", "log_source", "source_ip", "destination_ip")]), lambda e: e["value"].isNotNull())
+    score = F.coalesce(col("severity_score", "double"), col("cvss_score", "double"))
+    lists = [F.coalesce(col(c, "array<string>"), none).alias(c) for c in ("cve_ids", "services", "ports")]
+    return findings.where(text.safe_str("technical_summary") != "").select("finding_id", "technical_summary", F.map_from_entries(pairs).alias("source_metadata"), score.alias("severity_score"), F.coalesce(col("title"), F.lit("")).alias("title"), *lists)
+
+
+def reference_rows(rows: DataFrame) -> DataFrame:
+    """technical_summary, mitre_ids, similarity_score of retrieved rows under any of their names; first filled one wins.
+
+    Ids may be lists (mitre_ids, verified_mitre_ids) or one id as text (mitre_id).
+    """
+    own = rows.columns
+    filled = [text.blank_to_null(c) for c in ("technical_summary", "summary", "text") if c in own]
+    lists = [F.when(F.size(c) > 0, F.col(c)) for c in ("mitre_ids", "verified_mitre_ids") if c in own] + [F.when(text.safe_str("mitre_id") != "", F.array("mitre_id")) for _ in (1,) if "mitre_id" in own]
+    scores = [F.col(c).cast("double") for c in ("similarity_score", "score") if c in own]
+    kept = [c for c in ("query_id",) if c in own]
+    return rows.select(*kept, F.coalesce(*filled, F.lit("")).alias("technical_summary"), F.coalesce(*lists, F.array().cast("array<string>")).alias("mitre_ids"), F.coalesce(*scores, F.lit(None).cast("double")).alias("similarity_score"))

@@ -84,20 +84,49 @@ def frequency_copies(spark: SparkSession, d: str) -> DataFrame:
     return labels.frequency_copies(own, labels.histogram(own))
 
 
-@query(None)
+@query(
+    f"WITH {ROWS}, w AS (SELECT id, 1 / sqrt(greatest(min(n_rows), 1)) AS weight FROM flat JOIN counts USING (tag) GROUP BY 1), c AS (SELECT id, weight, sum(weight) OVER (ORDER BY id) AS upto, sum(weight) OVER () AS total FROM w), "
+    "p AS (SELECT id, floor(upto / total * 1000 + 0.5 - 1e-9) - floor((upto - weight) / total * 1000 + 0.5 - 1e-9) AS n FROM c) SELECT id, n::INTEGER AS copies FROM p WHERE n > 0"
+)
 def weighted_resample(spark: SparkSession, d: str) -> DataFrame:
     own = rows(spark, d)
-    return labels.weighted_resample(labels.inverse_weights(own, labels.histogram(own)), 1000)
+    return labels.weighted_resample(labels.inverse_weights(own, labels.histogram(own)), 1000).select("id", "copies")
 
 
-@query(None)
+@query(f"WITH {ROWS}, n AS (SELECT tag FROM flat GROUP BY 1 HAVING count(*) > 1) SELECT id, coalesce(id IN (SELECT id FROM flat WHERE tag IN (FROM n)), false) AS has_partner, coalesce(id IN (SELECT id FROM flat WHERE tag IN (FROM n)), false) AS shares_tag FROM rows")
 def label_partners(spark: SparkSession, d: str) -> DataFrame:
-    return labels.partner(rows(spark, d)).withColumn("context", labels.context_kind("id"))
+    """Whether each row got another row as partner, and whether that one shares a tag with it."""
+    own = rows(spark, d)
+    found = labels.partner(own).join(own, "id").join(own.select(F.col("id").alias("partner_id"), F.col("tags").alias("theirs")), "partner_id", "left")
+    return found.select("id", F.col("partner_id").isNotNull().alias("has_partner"), F.coalesce(F.arrays_overlap("tags", "theirs") & (F.col("id") != F.col("partner_id")), F.lit(False)).alias("shares_tag"))
 
 
-@query(None)
+@query(f"WITH {ROWS}, r AS (SELECT id, row_number() OVER (ORDER BY {_ORDER}, id) AS k, count(*) OVER () AS n FROM rows) SELECT id, CASE WHEN k <= floor(n * 0.15) THEN 'holdout' ELSE 'train' END AS split FROM r")
 def holdout_split(spark: SparkSession, d: str) -> DataFrame:
-    return labels.hash_split(rows(spark, d).select("id"), "id").groupBy("split").agg(F.count("*").alias("n_rows"))
+    return labels.holdout(rows(spark, d).select("id"), "id", order=(F.col("id") * 7919) % 104729).select("id", "split")
+
+
+@query(f"WITH {ROWS} SELECT id, 'Summary: row ' || id || chr(10) || 'Techniques:' AS prompt, '[' || chr(39) || array_to_string(list_sort(tags), chr(39) || ',' || chr(39)) || chr(39) || ']' || chr(10) AS completion FROM rows")
+def prompt_rows(spark: SparkSession, d: str) -> DataFrame:
+    told = rows(spark, d).withColumn("tags", F.array_sort("tags")).withColumn("s", F.concat(F.lit("row "), F.col("id").cast("string")))
+    return labels.prompt_rows(told, "s", "tags").select("id", "prompt", "completion")
+
+
+@query(f"WITH {ROWS} SELECT id, (CASE WHEN id % 5 = 0 THEN 4 ELSE 1 END)::BIGINT AS n FROM rows")
+def shard_rows(spark: SparkSession, d: str) -> DataFrame:
+    own = rows(spark, d)
+    return labels.shards(own.where("id % 5 <> 0"), own.where("id % 5 = 0")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {ROWS}, t AS (SELECT list(technique_id) AS ok FROM label_targets), m AS (SELECT CASE WHEN split_part(tag, '.', 1) = 'T1190' THEN 'T9999' ELSE tag END AS tag FROM flat), b AS (SELECT NOT (list_contains(ok, tag) OR list_contains(ok, split_part(tag, '.', 1))) AS bad FROM m, t) SELECT count(*) AS n_tags, count(*) FILTER (bad) AS n_bad, round(count(*) FILTER (bad) / count(*), 6) AS bad_share FROM b"
+)
+def invalid_after_remap(spark: SparkSession, d: str) -> DataFrame:
+    from sievemill.operators import gates, remap
+
+    moved = remap.map_column(spark.createDataFrame([("T1190", "T9999")], "old string, new string"))
+    known = gates.registry_ids(table(spark, d, "label_targets"), "technique_id")
+    return labels.invalid_rate(rows(spark, d), known, mapping=moved).withColumn("bad_share", F.round("bad_share", 6))
 
 
 PAIRS = (
@@ -162,9 +191,36 @@ def label_marginals(spark: SparkSession, d: str) -> DataFrame:
     return metrics.marginals(pairs(spark, d))
 
 
-@query(f"WITH {PAIRS}, m AS (SELECT id, label FROM g EXCEPT SELECT id, label FROM p), w AS (SELECT id, label FROM p EXCEPT SELECT id, label FROM g) SELECT m.label AS missed, w.label AS given, count(*) AS n_rows FROM m JOIN w USING (id) GROUP BY 1, 2")
+TWICE = (
+    r"one AS (SELECT finding_id, mapping_id, list_distinct(list_filter(list_transform(coalesce(mitre_ids, []), lambda x: split_part(upper(trim(x)), '.', 1)), lambda x: regexp_matches(x, '^T\d{4}$'))) AS ids FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY mapping_id ORDER BY mapped_at DESC NULLS LAST) AS k FROM mappings) WHERE k = 1), "
+    "twice AS (SELECT finding_id AS id, arg_min(ids, mapping_id) AS gold, arg_max(ids, mapping_id) AS pred FROM one GROUP BY 1), tg AS (SELECT id, unnest(gold) AS label FROM twice), tp AS (SELECT id, unnest(pred) AS label FROM twice)"
+)
+
+
+def twice(spark: SparkSession, d: str) -> DataFrame:
+    """The first mapping of a finding as gold, its last as prediction; a finding mapped once agrees with itself."""
+    from sievemill.plans.findings import mapped
+
+    roots = F.transform(F.coalesce("mitre_ids", F.array().cast("array<string>")), lambda t: text.root(F.trim(t)))
+    one = mapped(spark, d, "finding_id", "mitre_ids").withColumn("ids", F.array_distinct(F.filter(roots, lambda t: t.rlike(r"^T\d{4}$"))))
+    return one.groupBy(F.col("finding_id").alias("id")).agg(F.min_by("ids", "mapping_id").alias("gold"), F.max_by("ids", "mapping_id").alias("pred"))
+
+
+@query(f"WITH {TWICE}, m AS (SELECT id, label FROM tg EXCEPT SELECT id, label FROM tp), w AS (SELECT id, label FROM tp EXCEPT SELECT id, label FROM tg) SELECT m.label AS missed, w.label AS given, count(*) AS n_rows FROM m JOIN w USING (id) GROUP BY 1, 2")
 def label_confusion(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.confusion(pairs(spark, d))
+    return metrics.confusion(twice(spark, d))
+
+
+@query(
+    f"WITH {TWICE}, s AS (SELECT id, substr(id, 1, 1) IN ('0','1','2','3','4','5','6','7') AS low FROM twice), j AS (SELECT coalesce(tg.id, tp.id) AS id, coalesce(tg.label, tp.label) AS label, tg.id IS NOT NULL AND tp.id IS NOT NULL AS tp, tg.id IS NULL AS fp, tp.id IS NULL AS fn FROM tg FULL JOIN tp ON tg.id = tp.id AND tg.label = tp.label), "
+    "l AS (SELECT low, label, count(*) FILTER (tp) AS tp, count(*) FILTER (fp) AS fp, count(*) FILTER (fn) AS fn FROM j JOIN s USING (id) GROUP BY 1, 2) SELECT low, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1, count(*) AS n_labels FROM l GROUP BY 1"
+)
+def group_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of two groups side by side, as of a hold-out and the rest or of two models."""
+    rows = twice(spark, d).withColumn("low", F.substring("id", 1, 1).isin(list("01234567")))
+    made = metrics.overall(metrics.per_label(rows, group=["low"]), group=["low"])
+    return made.select("low", F.round("micro_f1", 6).alias("micro_f1"), F.round("macro_f1", 6).alias("macro_f1"), "n_labels")
 
 
 @query(f"WITH {PAIRS} SELECT count(*) AS n_rows, count(*) FILTER (len(pred) = 0) AS n_empty, count(*) FILTER (len(pred) = 1 AND pred[1] IN ('T1190', 'T1078', 'T1059', 'T1021', 'T1046') AND NOT list_has_any(gold, pred)) AS n_common_wrong FROM pairs")

@@ -106,3 +106,29 @@ def display_clean(body: Column | str) -> Column:
     """Without page footers, page numbers and dotted leaders."""
     t = F.regexp_replace(text.col(body), r"(?im)^[ \t]*(?:page[ \t]+)?\d+(?:[ \t]+of[ \t]+\d+)?[ \t]*$", "")
     return text.collapse(F.regexp_replace(F.regexp_replace(t, r"\.{4,}[ \t]*\d*", " "), r"(?im)^[ \t]*page[ \t]+\d+.*$", ""))
+
+
+def extraction_findings(rows: DataFrame) -> DataFrame:
+    """Findings of extracted attributes: severity, title, description, affected_hosts, hostnames, cve_ids, cvss_score, ports,
+    services (all lists as comma-separated text), remediation, extraction_text.
+
+    Hosts come before host names, each once; CVE ids are found in their text; scores outside 0 to 10 are null. The title
+    falls back to the extracted text. Titles, descriptions and excerpts are cut to 500, 2,000 and 5,000 characters.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(text.split_list(c), none)
+    hosts = F.array_distinct(F.concat(listed("affected_hosts"), listed("hostnames")))
+    return rows.select(
+        *[c for c in ("finding_id", "packet_id") if c in rows.columns],
+        text.severity_of_attribute("severity").alias("severity"),
+        F.substring(F.coalesce("title", "extraction_text"), 1, 500).alias("title"),
+        F.substring(F.coalesce("description", F.lit("")), 1, 2000).alias("description"),
+        F.transform(hosts, lambda h: F.struct(h.alias("identifier"), F.lit("host").alias("asset_type"), F.lit(None).cast("string").alias("details"))).alias("affected_assets"),
+        F.substring(F.coalesce("extraction_text", F.lit("")), 1, 5000).alias("raw_excerpt"),
+        F.coalesce(F.regexp_extract_all("cve_ids", F.lit(fixed.CVE), F.lit(0)), none).alias("cve_ids"),
+        text.score_of("cvss_score").alias("cvss_score"),
+        F.coalesce(F.transform(F.array(text.blank_to_null("remediation")), lambda x: x), none).alias("recommendations"),
+        listed("ports").alias("ports"),
+        listed("services").alias("services"),
+        listed("hostnames").alias("hostnames"),
+    ).withColumn("recommendations", F.array_compact("recommendations"))
