@@ -36,8 +36,8 @@ SUBORDINATORS = set("that which who whom whose although because since whereas un
 PRONOUNS = set("i you he she it we they me him her us them my your his our their this these those".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _ALPHA = re.compile(r"[^\W\d_]+")
+_ALPHA_ASCII = re.compile(r"[a-z]+")
 _PLAIN = re.compile(r"(?<!\S)[(\[\"'“‘’]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\]\"'’”]*(?!\S)")
-_TOKEN = re.compile(r"\S+")
 _UNSPACED = re.compile("[\u3040-\u9fff\uac00-\ud7a3]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
 _VOWELS = re.compile(r"[aeiouy]+")
@@ -88,7 +88,8 @@ class Reading:
     def __init__(self, text: str | None) -> None:
         self.text = text or ""
         self.low = self.text.lower()
-        self.sentences = [w for s in _SENTENCE.split(self.low) if (w := _ALPHA.findall(s))]
+        words = (_ALPHA_ASCII if self.low.isascii() else _ALPHA).findall
+        self.sentences = [w for s in _SENTENCE.split(self.low) if (w := words(s))]
         self.seen = Counter(w for s in self.sentences for w in s)
         self.n = sum(map(len, self.sentences))
 
@@ -105,16 +106,22 @@ class Reading:
         deviation = np.sqrt(((letters - mean) ** 2 * counts).sum() / n)
         p90 = letters[order][np.searchsorted(np.cumsum(counts[order]), 0.9 * n)]
         syllables, *shares = counts @ traits[:, 1:] / n
-        lengths = np.array([len(s) for s in sentences], float)
+        lengths = sorted(map(len, sentences))
+        k = len(lengths)
+        middle = n / k
+        deviation_of = (sum((x - middle) ** 2 for x in lengths) / k) ** 0.5
+        place = 0.9 * (k - 1)
+        low = int(place)
+        sentence_p90 = lengths[low] + (place - low) * (lengths[min(low + 1, k - 1)] - lengths[low])
         content = [{w for w in s if len(w) > 4} for s in sentences]
         pairs = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:], strict=False)]
         marks = (text.count(";") + text.count(":") + text.count("(")) / len(sentences)
-        return np.array([mean, deviation, p90, syllables, lengths.mean(), lengths.std(), np.percentile(lengths, 90), len(self.seen) / n**0.75, text.count(",") / len(sentences), marks, sum(pairs) / len(pairs) if pairs else 0.0, *shares])
+        return np.array([mean, deviation, p90, syllables, middle, deviation_of, sentence_p90, len(self.seen) / n**0.75, text.count(",") / len(sentences), marks, sum(pairs) / len(pairs) if pairs else 0.0, *shares])
 
     def kind(self) -> str:
         if not self.n and not _WORDS.search(self.low):
             return "empty"
-        tokens = len(_TOKEN.findall(self.text))
+        tokens = len(self.text.split())
         plain = len(_PLAIN.findall(self.text))
         if plain < 0.4 * tokens and (self.text.isascii() or len(_UNSPACED.findall(self.text)) < 0.2 * len(self.text)):
             return "listing"
