@@ -94,7 +94,7 @@ class BlockExtractor:
         out = []
         for t in texts:
             heads = list(re.finditer(r"(?m)^\s*(\d+(?:\.\d+)+)[ \t]+([^\n]+)", t))
-            ends = [h.start() for h in heads[1:]] + [len(t)]
+            ends = [*(h.start() for h in heads[1:]), len(t)][: len(heads)]
             out.append(json.dumps([{"control_id": h[1], "title": h[2].strip(), "remediation_steps": t[h.end() : e].strip(), "mitre_ids": re.findall(r"\bT\d{4}(?:\.\d{3})?\b", t[h.end() : e])} for h, e in zip(heads, ends, strict=True)]))
         return out
 

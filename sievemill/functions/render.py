@@ -90,6 +90,57 @@ def by_keywords(body: Column | str, families: list[tuple[list[str], list[str]]],
     return F.when(F.size(found) >= len(default), found).otherwise(F.slice(filled, 1, len(default)))
 
 
+def control_techniques(label: Column | str, body: Column | str) -> Column:
+    """Techniques of a control by the words of its label and text: at most three, at least two."""
+    found = by_keywords(F.concat_ws(" ", text.col(label), text.col(body)), fixed.TECHNIQUE_FAMILIES, [])
+    some = F.when(F.size(found) > 0, found).otherwise(F.array(*[F.lit(t) for t in fixed.TECHNIQUE_DEFAULT]))
+    filled = F.slice(F.array_distinct(F.concat(some, F.array(*[F.lit(t) for t in fixed.TECHNIQUE_FILL]))), 1, 2)
+    return F.when(F.size(some) >= 2, some).otherwise(filled)
+
+
+def context_text(kind: Column, summary: Column | str, ids: Column | str, partner_summary: Column | str, wrong_ids: Column | str) -> Column:
+    """The retrieval part of a training prompt by `labels.context_kind`.
+
+    `partner` shows the partner's summary with the row's own ids (nothing if the summaries are equal), `contradictory` and
+    `self` the row's summary with wrong ids or its own; no example is also what a kind without its text gives.
+    """
+    cut = lambda c, n: F.substring(F.trim(F.coalesce(text.col(c), F.lit(""))), 1, n)
+    shown = lambda said, given: F.concat(F.lit("1. Summary: "), said, F.lit("\n   Verified MITRE IDs: "), text.list_literal(given), F.lit(" (similarity=0.850)"))
+    own, theirs = cut(summary, 200), cut(partner_summary, 200)
+    wrong = F.concat(F.coalesce(F.nullif(cut(summary, 120), F.lit("")), F.lit("Unrelated.")), F.lit(" [contradictory RAG]"))
+    return F.coalesce(
+        F.when((kind == "contradictory") & (F.size(wrong_ids) > 0), shown(wrong, text.col(wrong_ids))),
+        F.when((kind == "partner") & (theirs != own) & text.col(partner_summary).isNotNull(), shown(F.concat(theirs, F.lit("...")), text.col(ids))),
+        F.when(kind == "self", shown(F.concat(cut(F.replace(text.col(summary), F.lit("\n"), F.lit(" ")), 120), F.lit("...")), text.col(ids))),
+        F.lit(fixed.NO_EXAMPLES),
+    )
+
+
+def is_transient(error: Exception) -> bool:
+    """Whether a call is worth another try: by its status code, else by its message."""
+    code = getattr(error, "code", None)
+    if isinstance(code, int):
+        return code in fixed.TRANSIENT_CODES
+    said = str(error)
+    return not re.search(fixed.PERMANENT_ERROR, said) and bool(re.search(fixed.TRANSIENT_ERROR, said))
+
+
+def is_limited(error: Exception) -> bool:
+    """Whether the service asks to wait longer."""
+    return is_transient(error) and (getattr(error, "code", None) == 429 or bool(re.search(fixed.LIMITED_ERROR, str(error))))
+
+
+def with_fallback(calls: list[Callable], **options) -> object:
+    """The first of several models that answers; each is tried with `retrying`, and only transient failures move on."""
+    for i, call in enumerate(calls):
+        try:
+            return retrying(call, **{"limited": is_limited, "transient": is_transient} | options)
+        except Exception as e:
+            if i + 1 == len(calls) or not is_transient(e):
+                raise
+    return None
+
+
 def identifier(name: str) -> str:
     """A name that may stand in a query unquoted; others are an error."""
     if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*", name):

@@ -151,10 +151,10 @@ def partner(rows: DataFrame, seed: int = 0) -> DataFrame:
     return rows.select("id").join(one, "id", "left")
 
 
-def context_kind(ident: str, seed: int = 0, contradictory: float = 0.025, snippet: float = 0.18) -> Column:
-    """`contradictory`, `partner` or `none` by a hash of the id."""
+def context_kind(ident: str, seed: int = 0, contradictory: float = 0.025, snippet: float = 0.18, own: str = "partner") -> Column:
+    """`contradictory`, `partner` (or `own`, such as `self` with a snippet share of 0.2) or `none` by a hash of the id."""
     u = F.pmod(order_hash(ident, seed), F.lit(1_000_000)) / 1_000_000
-    return F.when(u < contradictory, "contradictory").when(u < contradictory + (1 - contradictory) * snippet, "partner").otherwise("none")
+    return F.when(u < contradictory, "contradictory").when(u < contradictory + (1 - contradictory) * snippet, own).otherwise("none")
 
 
 def hash_split(df: DataFrame, ident: str, share: float = 0.15, seed: int = 0) -> DataFrame:

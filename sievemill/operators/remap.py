@@ -45,12 +45,12 @@ def remapped(t: Column, mapping: Column) -> Column:
     return F.coalesce(mapping[upper], mapping[text.root(upper)], upper)
 
 
-def normal_tags(tags: Column | str, mapping: Column, allowed: list[str], most: int = 5) -> Column:
-    """Ids through the map, allowed by themselves or their root, distinct in order, the first few, sorted by root and id."""
+def normal_tags(tags: Column | str, mapping: Column, allowed: list[str], most: int = 5, *, by_root: bool = True, ordered: bool = True) -> Column:
+    """Ids through the map, allowed by themselves or (`by_root`) their root, distinct in order, the first few, sorted by root and id if `ordered`."""
     ids = F.transform(F.coalesce(text.col(tags), F.array().cast("array<string>")), lambda t: remapped(t, mapping))
-    good = F.filter(ids, lambda t: F.startswith(t, F.lit("T")) & known(t, allowed))
+    good = F.filter(ids, lambda t: F.startswith(t, F.lit("T")) & (known(t, allowed) if by_root else t.isin(allowed)))
     first = F.slice(F.array_distinct(good), 1, most)
-    return F.transform(F.array_sort(F.transform(first, lambda t: F.struct(text.root(t).alias("r"), t.alias("t")))), lambda s: s["t"])
+    return first if not ordered else F.transform(F.array_sort(F.transform(first, lambda t: F.struct(text.root(t).alias("r"), t.alias("t")))), lambda s: s["t"])
 
 
 def with_parent(t: Column, allowed: list[str]) -> Column:

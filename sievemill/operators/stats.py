@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions import fixed, text
@@ -19,6 +19,23 @@ def timing(df: DataFrame, value: str, group: list[str] | None = None) -> DataFra
     return df.groupBy(*(group or [])).agg(F.count(value).alias("n"), F.round(F.avg(value), 2).alias("mean"), F.round(F.percentile(value, 0.95), 2).alias("p95"), F.round(F.max(value), 2).alias("maximum"))
 
 
+def stage_timing(df: DataFrame, value: str, stages: list[str], group: list[str] | None = None) -> DataFrame:
+    """`timing` with the mean of each stage column as `mean_<stage>`."""
+    means = [F.round(F.avg(c), 2).alias(f"mean_{c}") for c in stages]
+    return df.groupBy(*(group or [])).agg(F.count(value).alias("n"), F.round(F.avg(value), 2).alias("mean"), F.round(F.percentile(value, 0.95), 2).alias("p95"), F.round(F.max(value), 2).alias("maximum"), *means)
+
+
+def common_ports(pages: DataFrame, value: str, n: int = 20) -> DataFrame:
+    """The n ports named most often in all texts."""
+    each = pages.select(F.explode(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(fixed.PORT), F.lit(1))).alias("port"))
+    return each.groupBy("port").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "port").limit(n)
+
+
+def technique_catalog(spark: SparkSession) -> DataFrame:
+    """The techniques known with their tactics, as catalog rows (tactic, technique_id)."""
+    return spark.createDataFrame([(tactic, t) for t, tactics in fixed.TECHNIQUE_TACTICS.items() for tactic in tactics], "tactic string, technique_id string")
+
+
 def summary_stats(findings: DataFrame) -> DataFrame:
     """Findings with and without a usable summary."""
     good = text.valid_summary("technical_summary")

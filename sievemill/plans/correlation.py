@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.functions import text
+from sievemill.functions import fixed, text
 from sievemill.operators import correlate, graph, state, vectors
 from sievemill.plans.registry import query, table
 
@@ -112,12 +112,48 @@ def page_batches(spark: SparkSession, d: str) -> DataFrame:
     return batches(table(spark, d, "pdf_pages"))
 
 
-@query(None)
+def _benchmark_docs(spark: SparkSession, d: str) -> DataFrame:
+    """A document per brand: odd brands list parts under three-part numbers, even ones under rule headers."""
+    part = table(spark, d, "part")
+    even = F.substring("p_brand", -1, 1).cast("int") % 2 == 0
+    number = F.col("p_partkey").cast("string")
+    lit = F.lit
+    triple = F.concat(lit("1.1."), number, lit(" Ensure "), F.col("p_name"), lit("\n ok\n"), F.col("p_type"), lit(" is set on every system of the plant floor\n"))
+    rule = F.concat(lit("2."), number, lit(" WN11-"), number, lit(" (Manual)\nDescription: The "), F.col("p_name"), lit(" must be set on all systems.\nAudit: short\nRemediation: Set the "), F.col("p_type"), lit(" as the vendor says.\n"))
+    each = part.select("p_brand", F.struct("p_partkey", F.when(even, rule).otherwise(triple).alias("t")).alias("s"))
+    return each.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "").alias("body"))  # a document
+
+
+@query(
+    "WITH p AS (SELECT *, right(p_brand, 1)::INTEGER % 2 = 0 AS even FROM part), b AS (SELECT p_brand AS doc_id, p_partkey, CASE WHEN even THEN '2.' || p_partkey || '-WN11-' || p_partkey ELSE '1.1.' || p_partkey END AS label, "
+    "CASE WHEN even THEN 'The ' || p_name || ' must be set on all systems. Set the ' || p_type || ' as the vendor says' ELSE 'Ensure ' || p_name || ' ' || p_type || ' is set on every system of the plant floor' END AS description, even FROM p), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey) - 1 AS place FROM b WHERE length(description) >= CASE WHEN even THEN 80 ELSE 51 END) SELECT doc_id, place::INTEGER AS place, label, description FROM k WHERE place < 14"
+)
+def benchmark_controls(spark: SparkSession, d: str) -> DataFrame:
+    from sievemill.sources.reports import benchmark_controls as controls
+
+    return controls(_benchmark_docs(spark, d), "p_brand", "body")
+
+
+@query(
+    "WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS u FROM part), f AS (SELECT p_partkey, ["
+    + ", ".join(f"CASE WHEN {' OR '.join(chr(99) + f'ontains(u, {chr(39)}{w}{chr(39)})' for w in words)} THEN [{', '.join(chr(39) + i + chr(39) for i in ids)}] ELSE [] END" for words, ids in fixed.TECHNIQUE_FAMILIES)
+    + "] AS l FROM t), g AS (SELECT p_partkey, flatten(l) AS g FROM f), h AS (SELECT p_partkey, CASE WHEN len(g) = 0 THEN ['T1078', 'T1046'] WHEN len(g) = 1 THEN g || ['T1190'] ELSE g[1:3] END AS ids FROM g) SELECT p_partkey, ids FROM h"
+)
+def control_techniques(spark: SparkSession, d: str) -> DataFrame:
+    from sievemill.functions import render
+
+    return table(spark, d, "part").select("p_partkey", render.control_techniques("p_name", "p_type").alias("ids"))
+
+
+@query(r"WITH one AS (SELECT pdf_path, page_no, max(coalesce(page_text, '')) AS t FROM pdf_pages GROUP BY 1, 2), w AS (SELECT pdf_path, string_agg(t, chr(10) ORDER BY page_no) AS body FROM one GROUP BY 1) SELECT pdf_path AS doc_id, len(regexp_extract_all(body, '(?m)^[ \t]*\d+(?:\.\d+)+[ \t]+'))::INTEGER AS n_blocks FROM w WHERE regexp_matches(body, '(?m)^[ \t]*\d+(?:\.\d+)+[ \t]+')")
 def benchmark_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered blocks of whole files."""
     from sievemill.sources.reports import benchmark_blocks as blocks
+    from sievemill.sources.reports import whole_documents
 
-    rows = table(spark, d, "pdf_pages").withColumn("key", F.concat_ws("#", "pdf_path", "page_no"))
-    return blocks(rows, "key", "page_text").select("doc_id", "block_no", "number", "title")
+    found = blocks(whole_documents(table(spark, d, "pdf_pages")), "pdf_path", "body", least=0)
+    return found.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_blocks"))
 
 
 @query("SELECT pdf_path, page_no, regexp_replace(trim(regexp_replace(coalesce(page_text, ''), '[\\s\\x{a0}]+', ' ', 'g')), ' ', ' ', 'g') AS text FROM pdf_pages")

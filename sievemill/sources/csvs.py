@@ -31,12 +31,12 @@ def is_log(fields: dict[str, str]) -> bool:
     return "timestamp" in fields and ("title" in fields or "source_ip" in fields)
 
 
-def read(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """All columns as text; rows with too many fields are skipped (DROPMALFORMED counts them as malformed)."""
     return spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, mode="DROPMALFORMED", multiLine=True, escape='"', enforceSchema=False)
 
 
-def encoding_of(spark: SparkSession, path: str, first: str | None = None) -> str:
+def encoding_of(spark: SparkSession, path: str | list[str], first: str | None = None) -> str:
     """The first of `first`, UTF-8 and ISO-8859-1 that reads every line (the last one reads any bytes).
 
     Lines are tested one by one as they stream from the files, so no file is held in memory. A `first` of another name than
@@ -66,20 +66,22 @@ def encoding_of(spark: SparkSession, path: str, first: str | None = None) -> str
     return "ISO-8859-1"
 
 
-def findings(rows: DataFrame, file_name: str = "", order: list[str] | None = None) -> DataFrame:
+def findings(rows: DataFrame, file_name: str = "", order: list[str] | None = None, extra: list[str] = ()) -> DataFrame:
     """Findings of a CSV table of any columns; clashing names cannot occur, as only logical fields come out.
 
     `row_no` counts from 0: by `order` (columns that name a row) if given, else in the order Spark reads the rows. Only
-    log tables have addresses, protocol and time; only they name events after them.
+    log tables have addresses, protocol and time; only they name events after them. Columns of `extra` are no fields and
+    come out as they are.
     """
-    fields = aliases(rows.columns)
+    columns = [c for c in rows.columns if c not in extra]
+    fields = aliases(columns)
     quoted = {k: F.col(f"`{c}`").cast("string") for k, c in fields.items()}
     missing = F.lit(None).cast("string")
     at = lambda k: text.blank_to_null(quoted[k]) if k in quoted else missing
-    shown = [c for c in rows.columns if c != fields.get("title")]
+    shown = [c for c in columns if c != fields.get("title")]
     pairs = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}: "), text.safe_str(F.col(f"`{c}`").cast("string")))) for c in shown]
     described = F.concat_ws(" | ", *pairs) if pairs else F.lit("")
-    everything = F.concat_ws(" | ", *[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}: "), text.safe_str(F.col(f"`{c}`").cast("string")))) for c in rows.columns]) if rows.columns else F.lit("")
+    everything = F.concat_ws(" | ", *[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}: "), text.safe_str(F.col(f"`{c}`").cast("string")))) for c in columns]) if columns else F.lit("")
     log = is_log(fields)
     named = [(label, quoted[k]) for label, k in (("From", "source_ip"), ("To", "dest_ip"), ("Action", "action")) if k in quoted]
     number = (F.col("_row") + 1).cast("string")
@@ -103,6 +105,7 @@ def findings(rows: DataFrame, file_name: str = "", order: list[str] | None = Non
         text.timestamp_of(of_log("timestamp")).alias("timestamp_observed"),
         F.array_compact(F.array(at("port"))).alias("ports"),
         F.lit(file_name).alias("source_file"),
+        *extra,
     )
 
 

@@ -99,3 +99,18 @@ def file_in(folder: str, name: str) -> str:
 def hashes(spark: SparkSession, folder: str) -> DataFrame:
     """path and SHA-256 of the content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.sha2("content", 256).alias("source_hash"))
+
+
+def correlated_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlated packet files directly in a folder, sorted by path."""
+    return inventory(spark, folder, "*_correlated.json").orderBy("path")
+
+
+def label_corpus(spark: SparkSession, path: str, mapping, allowed: list[str]) -> DataFrame:
+    """text1_norm, tags_norm of a JSON-lines corpus under either set of names; rows without text or a good tag go."""
+    from sievemill.operators.remap import normal_tags
+
+    rows = spark.read.schema("text string, text1 string, mitre_tags array<string>, labels array<string>").json(path)
+    tags = F.coalesce(F.when(F.size("mitre_tags") > 0, F.col("mitre_tags")), F.col("labels"))
+    made = rows.select(text.training_text(text.first_filled("text", "text1")).alias("text1_norm"), normal_tags(tags, mapping, allowed).alias("tags_norm"))
+    return made.where((F.coalesce("text1_norm", F.lit("")) != "") & (F.size("tags_norm") > 0))

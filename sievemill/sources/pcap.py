@@ -11,6 +11,7 @@ import struct
 from collections.abc import Iterator
 from ipaddress import ip_address
 from typing import BinaryIO
+from urllib.parse import unquote
 
 from pyarrow import fs as stores
 from pyspark.sql import SparkSession
@@ -120,6 +121,11 @@ def _store(where: str) -> tuple[stores.FileSystem, str]:
     return stores.FileSystem.from_uri(where) if "://" in where else (stores.LocalFileSystem(), where)
 
 
+def store_of(path: str) -> tuple[stores.FileSystem, str]:
+    """The same for a path as Spark lists it (`file:/a`, `hdfs://...`)."""
+    return (stores.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")) if path.startswith("file:") else _store(path)
+
+
 def captures(where: str) -> list[str]:
     """Capture files below a folder, those that match a pattern, or the one file, sorted; in the form they were asked for."""
     head = where[: where.index("://") + 3] if "://" in where else ""

@@ -87,15 +87,79 @@ def chunks(body: Column | str, size: int = 2000) -> Column:
 _TITLE = r"(?m)^[ \t]*(?:\d+(?:\.\d+)+)[ \t]+"
 
 
+def _marked(body: Column | str, pattern: str, kept: str) -> Column:
+    """Parts of a text that start with a match of the pattern, which becomes `kept`."""
+    parts = F.split(F.regexp_replace(F.coalesce(text.col(body), F.lit("")), pattern, f"{MARK}{kept}"), MARK)
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def benchmark_blocks(docs: DataFrame, ident: str, body: str, least: int = 80, most: int | None = None) -> DataFrame:
-    """Blocks that start with a dotted number, of at least so many characters, with their title line."""
-    marked = F.split(F.regexp_replace(F.coalesce(body, F.lit("")), f"({_TITLE})", f"{MARK}$1"), MARK)
-    blocks = F.filter(F.transform(F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), text.strip), lambda b: F.length(b) >= least)
+    """Blocks that start with a dotted number, of at least so many characters, with their title line.
+
+    Give whole documents (`whole_documents`): a block that runs over the end of a page is one block.
+    """
+    blocks = F.filter(F.transform(_marked(body, f"({_TITLE})", "$1"), text.strip), lambda b: F.length(b) >= least)
     chosen = F.slice(blocks, 1, most) if most else blocks
     cut = docs.select(F.col(ident).alias("doc_id"), F.posexplode(chosen).alias("block_no", "block"))
     return cut.select("doc_id", "block_no", F.regexp_extract("block", r"^(\d+(?:\.\d+)+)", 1).alias("number"), text.strip(F.regexp_extract("block", r"^\d+(?:\.\d+)+[ \t]+([^\n]*)", 1)).alias("title"), "block")
 
 
+def whole_documents(page_rows: DataFrame, path: str = "pdf_path") -> DataFrame:
+    """path and `body`: the pages of each file in order, one of each number, joined by line ends."""
+    one = page_rows.where(F.col(path).isNotNull() & F.col("page_no").isNotNull()).groupBy(path, "page_no").agg(F.max(F.coalesce("page_text", F.lit(""))).alias("t"))
+    return one.groupBy(path).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "t"))), lambda p: p["t"]), "\n").alias("body"))  # the pages of one file
+
+
+_BLOCK = "array<struct<label string, description string>>"
+
+
+def rule_blocks(body: Column | str, most: int) -> Column:
+    """Controls under rule headers: their description, rationale, audit and remediation of over 20 characters each, 80 in all."""
+
+    def one(b: Column) -> Column:
+        parts = [text.collapse(named_section(b, name, fixed.BLOCK_SECTIONS)) for name in ("Description", "Rationale", "Audit", "Remediation")]
+        told = cleaned(F.array_join(F.filter(F.array(*parts), lambda p: F.length(p) > 20), "\n\n"))
+        return F.struct(F.substring_index(b, "\n", 1).alias("label"), told.alias("description"))
+
+    made = F.filter(F.transform(_marked(body, fixed.RULE_HEADER, "$1-$2\n"), one), lambda c: F.length(c["description"]) >= 80)
+    return F.transform(F.slice(made, 1, most), lambda c: F.struct(c["label"].alias("label"), F.substring(c["description"], 1, 2000).alias("description")))
+
+
+def triple_blocks(body: Column | str, most: int) -> Column:
+    """Controls under numbers of three parts: the lines of over two characters, over 50 in all."""
+
+    def one(b: Column) -> Column:
+        lines = F.transform(F.split(b, "\n"), text.strip)
+        kept = F.filter(lines, lambda x, i: (i == 1) | ((i > 1) & (F.length(x) > 2)))
+        return F.struct(F.get(lines, F.lit(0)).alias("label"), cleaned(text.collapse(F.array_join(kept, " "))).alias("description"))
+
+    made = F.filter(F.transform(_marked(body, fixed.TRIPLE_HEADER, "$1\n"), one), lambda c: F.length(c["description"]) > 50)
+    return F.transform(F.slice(made, 1, most), lambda c: F.struct(c["label"].alias("label"), F.substring(c["description"], 1, 2000).alias("description")))
+
+
+def benchmark_controls(docs: DataFrame, ident: str, body: str, most: int = 14) -> DataFrame:
+    """doc_id, place, label, description: rule blocks where there are three or more, else those and the triple blocks."""
+    rules = rule_blocks(body, most)
+    chosen = F.when(F.size(rules) >= 3, rules).otherwise(F.slice(F.concat(rules, triple_blocks(body, most)), 1, most))
+    each = docs.select(F.col(ident).alias("doc_id"), F.posexplode(chosen.cast(_BLOCK)).alias("place", "c"))
+    return each.select("doc_id", "place", "c.label", "c.description")
+
+
+def cleaned(body: Column | str) -> Column:
+    """Extracted text without footer lines, page marks and leaders, collapsed, without marks at either end."""
+    t = text.col(body)
+    for pattern, by in ((fixed.FOOTER_LINE, " "), (fixed.PAGE_MARK, " "), (fixed.LEADER_LINE, " "), (fixed.TOC_TRAIL, "")):
+        t = F.regexp_replace(t, pattern, by)
+    return F.regexp_replace(text.collapse(t), r"^[\s.:;,_\-–—]+|[\s.:;,_\-–—]+$", "")
+
+
+def demo_graph(controls: DataFrame, framework: str) -> DataFrame:
+    """Export rows (vendor_name, control_id, description, mitre_ids) of benchmark or catalog controls, for `graph.nodes_and_links`."""
+    from sievemill.functions import render
+
+    return controls.select(F.col(framework).alias("vendor_name"), F.col("label").alias("control_id"), "description", render.control_techniques("label", "description").alias("mitre_ids"))
+
+
 def named_section(body: Column | str, name: str, others: list[str]) -> Column:
     """Text after a line `name:` up to the next known heading line."""
     rest = "|".join(others)
@@ -103,9 +167,10 @@ def named_section(body: Column | str, name: str, others: list[str]) -> Column:
 
 
 def display_clean(body: Column | str) -> Column:
-    """Without page footers, page numbers and dotted leaders."""
-    t = F.regexp_replace(text.col(body), r"(?im)^[ \t]*(?:page[ \t]+)?\d+(?:[ \t]+of[ \t]+\d+)?[ \t]*$", "")
-    return text.collapse(F.regexp_replace(F.regexp_replace(t, r"\.{4,}[ \t]*\d*", " "), r"(?im)^[ \t]*page[ \t]+\d+.*$", ""))
+    """Control text for display: without placeholders, dotted leaders and lines of dots and numbers."""
+    t = F.regexp_replace(text.strip(text.col(body)), r"\[[Aa]ssignment:\s*[^\]]*\]", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"\.{4,}", " "), r"(?m)^[\s.]{3,}\d*[\s.]*$", " ")
+    return text.collapse(t)
 
 
 def extraction_findings(rows: DataFrame) -> DataFrame:

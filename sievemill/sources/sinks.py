@@ -94,3 +94,19 @@ def write_csv(df: DataFrame, path: str, order: list) -> None:
 
 def output_name(stem: str, packet_id: str) -> str:
     return f"{os.path.basename(stem)}_{packet_id[:8]}.json"
+
+
+def stage_name(stem: str, stage: str, stamp: str) -> str:
+    """File name of a packet after a stage (`enriched`, `mapped`, `remediated`), with a UTC stamp; remediation drops `_correlated`."""
+    base = os.path.basename(stem)
+    return f"{base.removesuffix('_correlated') if stage == 'remediated' else base}_{stage}_{stamp}.json"
+
+
+def write_checked(df: DataFrame, path: str, keys: list[str]) -> None:
+    """A store whose keys are unique; repeated ones are an error and nothing is written."""
+    from sievemill.operators.graph import violations
+
+    for key in keys:
+        if not violations(df.where(F.col(key).isNotNull()), key).isEmpty():
+            raise ValueError(f"{key} is not unique")
+    write_store(df, path)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.functions import render
+from sievemill.functions import fixed, render
 
 ASSET = "array<struct<identifier:string,asset_type:string,details:string>>"
 CONTROL = "struct<control_id:string,vendor_product:string,remediation_steps:string,audit_procedure:string>"
@@ -61,3 +61,32 @@ def test_retrying():
     assert len(waits) == 2 and waits[1] >= 30
     with pytest.raises(ValueError):
         render.retrying(lambda: (_ for _ in ()).throw(ValueError()), transient=lambda e: isinstance(e, OSError), sleep=waits.append)
+
+
+def test_context_texts(spark):
+    rows = [("partner", "Own words", ["T1"], "Their words", None), ("partner", "Same", ["T1"], "Same", None), ("partner", "Own", ["T1"], None, None), ("contradictory", "Own words", ["T1"], None, ["T2"]), ("contradictory", None, ["T1"], None, []), ("self", "Own\nwords", ["T1"], None, None), ("none", "Own", ["T1"], "x", None)]
+    df = spark.createDataFrame(rows, "kind string, s string, ids array<string>, p string, w array<string>")
+    got = [r[0] for r in df.select(render.context_text(F.col("kind"), "s", "ids", "p", "w")).collect()]
+    form = "1. Summary: {0}\n   Verified MITRE IDs: ['{1}'] (similarity=0.850)"
+    none = fixed.NO_EXAMPLES
+    assert got == [form.format("Their words...", "T1"), none, none, form.format("Own words [contradictory RAG]", "T2"), none, form.format("Own words...", "T1"), none]
+
+
+def test_errors_of_a_model_service():
+    class Coded(Exception):
+        def __init__(self, code, said=""):
+            super().__init__(said)
+            self.code = code
+
+    assert render.is_transient(Coded(503)) and not render.is_transient(Coded(401)) and render.is_limited(Coded(429)) and not render.is_limited(Coded(503))
+    assert render.is_transient(Exception("model is overloaded, try again")) and not render.is_transient(Exception("400 try again")) and not render.is_transient(Exception("odd"))
+    assert render.is_limited(Exception("Too many requests")) and not render.is_limited(Exception("503 unavailable"))
+    tried = []
+
+    def busy():
+        tried.append("busy")
+        raise Coded(503)
+
+    assert render.with_fallback([busy, lambda: "second"], attempts=2, sleep=lambda s: None) == "second" and tried == ["busy", "busy"]
+    with pytest.raises(Coded):
+        render.with_fallback([lambda: (_ for _ in ()).throw(Coded(401)), lambda: "never"], attempts=2, sleep=lambda s: None)

@@ -5,10 +5,10 @@ from ipaddress import ip_address
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.functions.models import HashEmbedder, embedded, summarized
+from sievemill.functions.models import BlockExtractor, ControlGenerator, HashEmbedder, OverlapJudge, TacticLabeller, embedded, extracted_controls, judged, summarized
 from sievemill.operators import graph
-from sievemill.plans import pipeline
-from sievemill.sources import csvs, jsons, pcap, reports, sinks
+from sievemill.plans import pipeline, remediation
+from sievemill.sources import csvs, folders, jsons, pcap, reports, sinks
 from sievemill.streaming import ingest
 
 
@@ -253,3 +253,142 @@ def test_long_capture_is_read_whole(tmp_path):
     path = write(tmp_path / "long.pcap", struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + record * 10_050)
     reader = pcap._Reader({"path": path})
     assert sum(1 for _ in reader.read(reader.partitions()[0])) == 10_050
+
+
+def mixed_folder(tmp_path):
+    where = tmp_path / "in"
+    (where / "deep").mkdir(parents=True)
+    write(where / "a.csv", "title,description,severity,cve\nOpen telnet service,Anyone can log in remotely with default credentials on the public-facing host,high,CVE-2031-1111\nWeak cipher,Old ssl,low,\n")
+    write(where / "b.csv", "title,description,severity,cve\nThird finding,text,info,\n")
+    write(where / "empty.csv", " \n")
+    write(where / "c.pdf", b"HIGH (CVSS: 7.5)\nNVT: Leaky mail relay (OID: 1.3.6.1.4.1.25623.1.7)\n25/TCP\nAnyone relays mail.\n")
+    write(where / "bad.pdf", b"\xff\xfe")
+    write(where / "d.pcap", classic([frame("10.0.0.1", "10.0.0.2", 6, 3389)]))
+    write(where / "broken.pcap", b"nothing")
+    write(where / "e.json", json.dumps({"id": "p1", "findings": [{"id": "x", "title": "Packet finding", "severity": "low", "description": "d"}]}))
+    write(where / "deep" / "f.csv", "name,info\nDeep one,body\n")
+    write(where / "notes.txt", "left out")
+    return str(where)
+
+
+def test_folder_of_all_formats(spark, tmp_path):
+    where = mixed_folder(tmp_path)
+    got = folders.ingest(spark, where, extract=lambda b: b.decode("utf-8").split("\f"))
+    rows = got.findings.collect()
+    titles = {r.title for r in rows}
+    assert {"Open telnet service", "Weak cipher", "Third finding", "Leaky mail relay", "Packet finding"} <= titles and "Deep one" not in titles
+    assert any("suspicious port" in t for t in titles) and len({r.finding_id for r in rows}) == len(rows) == 6
+    assert {(r.path.rsplit("/", 1)[1], r.row_no) for r in rows if r.path.endswith(".csv")} == {("a.csv", 0), ("a.csv", 1), ("b.csv", 0)}
+    assert {r.path.rsplit("/", 1)[1] for r in got.errors.collect()} == {"empty.csv", "bad.pdf", "broken.pcap"}
+    again = folders.ingest(spark, where, recursive=True)
+    assert "Deep one" in {r.title for r in again.findings.collect()}
+    assert {r.path.rsplit("/", 1)[1] for r in again.errors.collect()} == {"empty.csv", "bad.pdf", "c.pdf", "broken.pcap"}
+
+
+def test_from_a_folder_to_remediation(spark, tmp_path):
+    class Forgetful(ControlGenerator):
+        """Leaves the substeps out until it is told."""
+
+        def generate(self, prompts, issues):
+            made = [json.loads(x) for x in ControlGenerator().generate(prompts, issues)]
+            for out, wrong in zip(made, issues, strict=True):
+                for s in out["steps"] if not wrong else []:
+                    s["substeps"] = []
+            return [json.dumps(x) for x in made]
+
+    read, stages = pipeline.run_folder(
+        spark, mixed_folder(tmp_path), TacticLabeller(),
+        spark.createDataFrame([("T1566",), ("T1110",), ("T1021",)], "technique_id string"),
+        spark.createDataFrame([(1, "c1", "Disable the telnet service and default credentials"), (2, "c2", "Lock the door")], "control_no long, control_id string, description string"),
+        spark.createDataFrame([("Acme", "c1")], "vendor_name string, control_id string"),
+        spark.createDataFrame([("c1", "T1566")], "control_id string, technique_id string"),
+        extract=lambda b: b.decode("utf-8").split("\f"), embedder=HashEmbedder(32), allowed=["acme"], generator=Forgetful(), judge=OverlapJudge(),
+    )
+    rows = {r.technical_summary: r for r in stages.remediated.collect()}
+    assert read.errors.count() == 3 and any(s.startswith("Open telnet service") for s in rows)
+    told = next(r for s, r in rows.items() if s.startswith("Open telnet service"))
+    assert told.attempts > 1 and told.output.source_control_ids[0] == "c1" and told.substep_quality == 1.0
+    assert len(told.output.steps[0].substeps) == 3  # the second attempt knew what was missing
+    meta = remediation.metadata(stages.remediated, model="m", prompt_version="1").where(F.col("finding_id") == told.finding_id).first().remediation
+    assert meta.selfrag_verification.attempts == told.attempts and meta.provenance.mode == "graph_only" and meta.source_control_ids == told.output.source_control_ids
+    state = remediation.remember(spark.createDataFrame([("old", 3)], "finding_id string, version int"), stages.remediated)
+    assert {r.version for r in state.collect()} <= {3, 4} and state.where("finding_id = 'old'").count() == 1
+
+
+def test_remediable_and_names(spark):
+    schema = "finding_id string, technical_summary string, severity string, mitre_ids array<string>, best " + remediation.CONTROL + f", vendor_controls array<{remediation.CONTROL}>, framework_controls array<{remediation.CONTROL}>, similarity double, score double, vendor_matched boolean"
+    best = ("c", "V", "do it", None)
+    rows = spark.createDataFrame([("a", "text", None, ["T1"], best, None, None, 0.1, 0.2, True), ("b", " ", None, None, best, None, None, 0.1, 0.2, True), ("c", "text", None, None, None, None, None, None, None, None)], schema)
+    assert [r.finding_id for r in remediation.remediable(rows).collect()] == ["a"]
+    made = remediation.remediate(rows, ControlGenerator(), retries=0).collect()
+    assert [(r.finding_id, r.attempts) for r in made] == [("a", 1)]
+    assert remediation.file_name("x_correlated", "20310101_000000") == "x_remediated_20310101_000000.json"
+
+
+def test_generator_that_answers_nonsense(spark):
+    class Bad:
+        def generate(self, prompts, issues):
+            return ["{not json" for _ in prompts]
+
+    schema = "finding_id string, technical_summary string, severity string, mitre_ids array<string>, best " + remediation.CONTROL + f", vendor_controls array<{remediation.CONTROL}>, framework_controls array<{remediation.CONTROL}>"
+    rows = spark.createDataFrame([("a", "text", "low", ["T1"], ("c", None, None, None), None, None)], schema)
+    r = remediation.remediate(rows, Bad(), retries=1).first()
+    assert not r.passed and r.attempts == 2 and r.grounding == 0.0 and "[grounding/error] no steps" in r.issues
+
+
+def test_extractor_and_judge(spark):
+    df = spark.createDataFrame([(1, "Intro\n1.1 Set the mode\nUse T1059 care.\n1.2 Other\nBody"), (2, None), (3, "nothing")], "k int, text string")
+    got = extracted_controls(df, BlockExtractor()).orderBy("control_id").collect()
+    assert [(r.k, r.control_id, r.title, r.mitre_ids) for r in got] == [(1, "1.1", "Set the mode", ["T1059"]), (1, "1.2", "Other", [])]
+    rows = spark.createDataFrame([(["disable telnet service", "unrelated things"], "Disable the telnet service."), ([], "x"), (None, None)], "s array<string>, source string")
+    assert [r.verdicts for r in judged(rows, OverlapJudge(), F.col("s"), "source").collect()] == [["SUPPORTED", "NOT_SUPPORTED"], [], []]
+
+
+def test_summaries_come_from_the_cache_first(spark):
+    class Counting:
+        def summarize(self, prompts):
+            assert None not in prompts
+            return ["The host exposes an unauthenticated service to attackers." for _ in prompts]
+
+    rows = spark.createDataFrame([("f1", "Old", None, None, "p1"), ("f2", "New", None, None, "p2")], "finding_id string, title string, cve_ids array<string>, services array<string>, prompt string").coalesce(1)
+    first = {r.finding_id: r.cache_key for r in summarized(rows, Counting()).collect()}
+    cache = spark.createDataFrame([(first["f1"], "The cached sentence speaks of weak keys.")], "key string, summary string")
+    got = {r.finding_id: (r.technical_summary, r.summary_source) for r in summarized(rows, Counting(), cache=cache).collect()}
+    assert got["f1"] == ("The cached sentence speaks of weak keys.", "cache") and got["f2"][1] == "model"
+
+
+def test_label_corpus_names_and_checked_store(spark, tmp_path):
+    from sievemill.operators import remap
+
+    moved = remap.map_column(spark.createDataFrame([("T9000", "T1190")], "old string, new string"))
+    write(tmp_path / "c.jsonl", '{"text": "Summary:  Weak  key", "mitre_tags": ["t9000", "T1059.001"]}\n{"text1": "Old", "labels": ["T1059"]}\n{"text": " ", "labels": ["T1059"]}\n{"text": "No tag", "labels": ["X1"]}\n')
+    got = jsons.label_corpus(spark, str(tmp_path / "c.jsonl"), moved, ["T1190", "T1059"]).collect()
+    assert sorted((r.text1_norm, tuple(r.tags_norm)) for r in got) == [("Old", ("T1059",)), ("Weak key", ("T1059.001", "T1190"))]
+    for name in ("b_correlated.json", "a_correlated.json", "other.json"):
+        write(tmp_path / name, "{}")
+    assert [r.path.rsplit("/", 1)[1] for r in jsons.correlated_files(spark, str(tmp_path)).collect()] == ["a_correlated.json", "b_correlated.json"]
+    assert sinks.stage_name("x/p_correlated", "remediated", "S") == "p_remediated_S.json" and sinks.stage_name("p", "mapped", "S") == "p_mapped_S.json"
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    sinks.write_checked(rows, str(tmp_path / "ok"), ["k"])
+    with pytest.raises(ValueError, match="v is not unique"):
+        sinks.write_checked(rows, str(tmp_path / "no"), ["k", "v"])
+    ids = F.array(F.lit("T1059.001"), F.lit("T1190"))
+    one = spark.range(1).select(remap.normal_tags(ids, moved, ["T1190", "T1059"], by_root=False, ordered=False)).first()[0]
+    assert one == ["T1190"]
+
+
+def test_benchmark_styles_and_cleaning(spark):
+    rule = "1.10 WN11-00-000040 (Manual)\nDescription: {0}\nRationale: short\nRemediation: {0}\nPage 7\n"
+    body = "x" * 45 + " end"
+    docs = spark.createDataFrame([("a", "".join(rule.format(body) for _ in range(3)) + "1.1.1 (L1) Ensure it " + "y" * 60), ("b", rule.format(body) + "1.1.1 (L1) Ensure it\nok\n" + "y" * 60 + "\n1.1.2 short"), ("c", None)], "k string, t string")
+    got = {}
+    for r in reports.benchmark_controls(docs, "k", "t").orderBy("doc_id", "place").collect():
+        got.setdefault(r.doc_id, []).append((r.label, r.description))
+    assert [x[0] for x in got["a"]] == ["1.10-WN11-00-000040"] * 3 and [x[0] for x in got["b"]] == ["1.10-WN11-00-000040", "1.1.1"]
+    assert got["b"][1][1] == "(L1) Ensure it " + "y" * 60 and "Page" not in got["b"][0][1] and "c" not in got
+    texts = spark.createDataFrame([("Copyright by us\nReal text Page 12 ....... 9", "[Assignment: x] Do .... it\n... 12")], "a string, b string")
+    assert tuple(texts.select(reports.cleaned("a"), reports.display_clean("b")).first()) == ("Real text", "Do it")
+    graph_rows = reports.demo_graph(spark.createDataFrame([("F", "1.1", "Encrypt the disk")], "f string, label string, description string"), "f")
+    assert graph_rows.first().mitre_ids == ["T1486", "T1190"]
+    pages = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one"), ("a", 1, "two"), (None, 1, "x"), ("a", None, "x"), ("b", 3, None)], "pdf_path string, page_no int, page_text string")
+    assert {r.pdf_path: r.body for r in reports.whole_documents(pages).collect()} == {"a": "one\ntwo", "b": ""}
