@@ -486,12 +486,18 @@ def id_pairs(found: NearDuplicates, a: str, b: str) -> DataFrame:
 
 
 def counts(found: NearDuplicates) -> DataFrame:
-    """One row per id: its class, how many ids share the class and how many other ids it is linked to in all."""
-    size = found.members.groupBy("class_id").agg(F.count("*").alias("copies"))
+    """One row per id: its class, the least id of the class, how many ids share it and how many other ids it is linked to in all."""
+    size = found.members.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
     ends = found.links.select(F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(found.links.select(F.col("class_b").alias("class_id"), F.col("class_a").alias("other")))
-    degree = ends.join(size.withColumnRenamed("class_id", "other").withColumnRenamed("copies", "weight"), "other").groupBy("class_id").agg(F.sum("weight").alias("linked"))
-    per_class = size.join(degree, "class_id", "left").select("class_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return found.members.select("id", "class_id").join(per_class, "class_id").select("id", "class_id", "copies", "n_links")
+    degree = ends.join(size.select(F.col("class_id").alias("other"), F.col("copies").alias("weight")), "other").groupBy("class_id").agg(F.sum("weight").alias("linked"))
+    per_class = size.join(degree, "class_id", "left").select("class_id", "first_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return found.members.select("id", "class_id").join(per_class, "class_id").select("id", "class_id", "first_id", "copies", "n_links")
+
+
+def id_groups(found: NearDuplicates) -> DataFrame:
+    """One row per id: the least id of all that it hangs together with through links."""
+    joined = found.members.select("id", "class_id").join(groups(found.links), "class_id", "left").select("id", F.coalesce("group_id", "class_id").alias("group"))
+    return joined.join(joined.groupBy("group").agg(F.min("id").alias("group_id")), "group").select("id", "group_id")
 
 
 def groups(links: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -37,13 +37,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.counts(_near(spark, d)).withColumnRenamed("id", "finding_id")
+    """Each finding with its class (named by its least finding), the copies in it and the findings alike in all."""
+    return neardup.counts(_near(spark, d)).select(F.col("id").alias("finding_id"), F.col("first_id").alias("class_id"), "copies", "n_links")
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    near = _near(spark, d)
-    joined = near.members.join(neardup.groups(near.links), "class_id", "left")
-    return joined.select(F.col("id").alias("finding_id"), F.coalesce("group_id", "class_id").alias("group_id"))
+    return neardup.id_groups(_near(spark, d)).withColumnRenamed("id", "finding_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
