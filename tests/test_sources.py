@@ -392,3 +392,30 @@ def test_benchmark_styles_and_cleaning(spark):
     assert graph_rows.first().mitre_ids == ["T1486", "T1190"]
     pages = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one"), ("a", 1, "two"), (None, 1, "x"), ("a", None, "x"), ("b", 3, None)], "pdf_path string, page_no int, page_text string")
     assert {r.pdf_path: r.body for r in reports.whole_documents(pages).collect()} == {"a": "one\ntwo", "b": ""}
+
+
+def test_page_batches_are_taken_once_and_fail_alone(spark, tmp_path):
+    class Picky(BlockExtractor):
+        def extract(self, texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("cannot read this")
+            return BlockExtractor().extract(texts)
+
+    rows = [("a", i, f"1.{i} Control {i}\nSet T1059.") for i in range(7)] + [("b", 0, "poison"), ("b", 5, "2.1 Fine\nbody")]
+    pages = spark.createDataFrame(rows, "pdf_path string, page_no int, page_text string")
+    target, log = str(tmp_path / "controls"), str(tmp_path / "log")
+    assert ingest.ingest_batches(pages, Picky(), target, log, max_batches=1) == 1
+    assert ingest.ingest_batches(pages, Picky(), target, log) == 3
+    assert spark.read.parquet(target).count() == 8
+    told = spark.read.json(log)
+    assert {(r.pdf_path, r.batch_index, r.status) for r in told.collect()} == {("a", 0, "ok"), ("a", 1, "ok"), ("b", 0, "error"), ("b", 1, "ok")}
+    assert ingest.ingest_batches(pages, BlockExtractor(), target, log) == 1  # only the failed one
+
+
+def test_controls_are_upserted_once(spark, tmp_path):
+    schema = "key string, control_id string, remediation string, mitre_ids array<string>"
+    rows = spark.createDataFrame([("AC-01", "NIST-AC-01", "Do it", ["T1"]), ("AC-02", "NIST-AC-02", " ", None)], schema)
+    target, log = str(tmp_path / "t"), str(tmp_path / "l")
+    assert {(r.join_key, r.status) for r in ingest.ingest_controls(rows, target, log, "nist").collect()} == {("AC-01", "ok"), ("AC-02", "skipped")}
+    assert ingest.ingest_controls(rows, target, log, "nist").count() == 0
+    assert [(r.key, r.mitre_ids) for r in spark.read.parquet(target).collect()] == [("AC-01", ["T1"])]
