@@ -84,7 +84,7 @@ def by_keywords(body: Column | str, families: list[tuple[list[str], list[str]]],
     """Techniques of the first keyword families that match, at least the default ones if there are too few."""
     low = F.lower(F.coalesce(text.col(body), F.lit("")))
     none = F.array().cast(_NONE)
-    hits = F.flatten(F.array(*[F.when(text.any_of(low, words), F.array(*[F.lit(t) for t in ids])).otherwise(none) for words, ids in families])) if families else none
+    hits = text.bound(low, lambda t: F.flatten(F.array(*[F.when(text.any_of(t, words), F.array(*[F.lit(i) for i in ids])).otherwise(none) for words, ids in families]))) if families else none
     found = F.slice(F.array_distinct(hits), 1, most)
     filled = F.array_distinct(F.concat(found, F.array(*[F.lit(t) for t in default])))
     return F.when(F.size(found) >= len(default), found).otherwise(F.slice(filled, 1, len(default)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ def first_filled(*xs: Column | str) -> Column:
     return F.coalesce(*[blank_to_null(x) for x in xs])
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once a row: branches of a condition would compute it anew each."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def any_of(x: Column, words: list[str]) -> Column:
     """Whether the lower-cased text holds any of the words, anywhere."""
     return reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words])
@@ -67,7 +73,7 @@ def severity_of_attribute(x: Column | str) -> Column:
 
 
 def severity_in_text(x: Column | str) -> Column:
-    return F.coalesce(_ordered(F.lower(col(x)), fixed.SEVERITY_TEXT_WORDS), F.lit("unknown"))
+    return F.coalesce(bound(F.lower(col(x)), lambda low: _ordered(low, fixed.SEVERITY_TEXT_WORDS)), F.lit("unknown"))
 
 
 def score_of(x: Column | str) -> Column:
@@ -121,8 +127,7 @@ def ports(x: Column | str) -> Column:
 def services(x: Column | str) -> Column:
     """Upper-case service words found anywhere, in the order of the list; `https` holds `http` too."""
     low = F.lower(F.coalesce(col(x), F.lit("")))
-    hits = F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w.upper())) for w in fixed.SERVICE_WORDS])
-    return F.array_compact(hits)
+    return bound(low, lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(w.upper())) for w in fixed.SERVICE_WORDS])))
 
 
 def hostnames(x: Column | str) -> Column:
@@ -268,10 +273,9 @@ def has_c2_evidence(x: Column | str) -> Column:
 
 
 def has_initial_access(x: Column | str) -> Column:
-    return any_of(F.lower(F.coalesce(col(x), F.lit(""))), fixed.TACTIC_WORDS["initial-access"])
+    return bound(F.lower(F.coalesce(col(x), F.lit(""))), lambda low: any_of(low, fixed.TACTIC_WORDS["initial-access"]))
 
 
 def tactics_in(x: Column | str) -> Column:
     """Tactics with at least one of their words anywhere in the text."""
-    low = F.lower(F.coalesce(col(x), F.lit("")))
-    return F.array_compact(F.array(*[F.when(any_of(low, words), F.lit(t)) for t, words in fixed.TACTIC_WORDS.items()]))
+    return bound(F.lower(F.coalesce(col(x), F.lit(""))), lambda low: F.array_compact(F.array(*[F.when(any_of(low, words), F.lit(t)) for t, words in fixed.TACTIC_WORDS.items()])))

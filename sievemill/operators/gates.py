@@ -60,15 +60,13 @@ def semantic_gate(ids: Column, summary: Column) -> tuple[Column, Column, Column]
 
 
 def consistency_gate(accepted: Column, candidates: Column, present: Column) -> Column:
-    """Advisory issues for ids none of whose tactics is `present` (`text.tactics_in` of the summary, as a column).
+    """Advisory issues for ids none of whose tactics is `present` (`text.tactics_in` of the summary, computed once: `text.bound`).
 
-    Candidates are checked if no id was accepted. `present` is used twice, so that the optimizer keeps it a column of its
-    own and does not search the summary again for every id.
+    Candidates are checked if no id was accepted.
     """
     ids = F.when(F.size(accepted) > 0, accepted).otherwise(candidates)
     tactics = F.create_map(*[x for k, v in fixed.TECHNIQUE_TACTICS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
-    has = F.filter(ids, lambda t: tactics[text.root(t)].isNotNull())
-    odd = F.when(F.size(present) == 0, has).otherwise(F.filter(has, lambda t: ~F.arrays_overlap(tactics[text.root(t)], present)))
+    odd = F.filter(ids, lambda t: tactics[text.root(t)].isNotNull() & ~F.arrays_overlap(tactics[text.root(t)], present))
     return F.transform(odd, lambda t: _issue("consistency", "warning", F.lit("no word of its tactics in the summary"), t))
 
 
@@ -83,7 +81,7 @@ def validate(df: DataFrame, ids: str, summary: str, registry: list[str], *, fall
     shown, told = F.col(ids), F.col(summary)
     proposed = F.coalesce(shown, F.array().cast(NO_IDS))
     first, wrong = format_gate(shown, registry)
-    step = df.withColumn("_present", text.tactics_in(told)).withColumn("_format", first).withColumn("_wrong", wrong)
+    step = df.withColumn("_format", first).withColumn("_wrong", wrong)
     kept, dropped, removed = semantic_gate(F.col("_format"), told)
     step = step.withColumn("_kept", kept).withColumn("_dropped", dropped).withColumn("_removed", removed)
     entry = F.lit("T1190")
@@ -91,11 +89,11 @@ def validate(df: DataFrame, ids: str, summary: str, registry: list[str], *, fall
     step = step.withColumn("_injected", inject).withColumn("_ids", F.when(F.col("_injected"), F.array(entry)).otherwise(F.col("_kept")))
     note = F.when(F.col("_injected"), F.array(_issue("semantic", "info", F.lit("replaced by the public-facing technique"), entry))).otherwise(_none())
     candidates = F.transform(proposed, lambda t: F.upper(text.strip(t)))
-    doubts = consistency_gate(F.col("_ids"), candidates, F.col("_present"))
+    doubts = text.bound(text.tactics_in(told), lambda present: consistency_gate(F.col("_ids"), candidates, present))
     cut, over, within = policy_gate(F.col("_ids"))
     step = step.withColumn("accepted", cut).withColumn("issues", F.concat("_wrong", "_dropped", note, doubts, over))
     step = step.withColumn("issue_count", F.size("issues")).withColumn("passed", (F.size("_wrong") == 0) & within)
-    return step.drop("_present", "_format", "_wrong", "_kept", "_dropped", "_removed", "_injected", "_ids")
+    return step.drop("_format", "_wrong", "_kept", "_dropped", "_removed", "_injected", "_ids")
 
 
 def lost_all_to_semantics(candidates: str, accepted: str, issues: str) -> Column:
