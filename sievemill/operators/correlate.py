@@ -61,7 +61,7 @@ def example_rerank(pool: DataFrame, *, summary: str = "summary", labels: str = "
 
     Each label whose tactics meet the summary's tactics adds a bonus; each T1102 without C2 evidence costs a penalty.
     """
-    tactics = F.create_map(*[x for k, v in fixed.TECHNIQUE_TACTICS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
+    tactics = text.technique_tactics()
     agreeing = F.size(F.filter(labels, lambda t: F.coalesce(F.arrays_overlap(tactics[text.root(t)], F.col("_present")), F.lit(False))))
     web = F.when(text.has_c2_evidence(summary), F.lit(0)).otherwise(F.size(F.filter(labels, lambda t: text.root(t) == "T1102")))
     scored = pool.withColumn("_present", text.tactics_in(summary)).withColumn("adjusted", F.col("similarity") + fixed.TACTIC_BONUS * agreeing - fixed.C2_PENALTY * web).drop("_present")

@@ -23,7 +23,7 @@ def _issue(gate: str, severity: str, message: Column, technique: Column) -> Colu
     return F.struct(F.lit(gate).alias("gate"), F.lit(severity).alias("severity"), message.alias("message"), technique.alias("technique_id"))
 
 
-def known(t: Column, registry: list[str]) -> Column:
+def known(t: Column, registry: list) -> Column:
     """Whether the registry holds the id or its root: a look-up in a hash set, not a walk through a list."""
     if not registry:
         return t.isNull() & F.lit(False)
@@ -40,7 +40,7 @@ def known_by_join(df: DataFrame, ident: str, ids: str, registry: DataFrame, key:
     return df.select(ident).distinct().join(kept, ident, "left").withColumn("known_ids", F.coalesce("known_ids", F.array().cast(NO_IDS)))
 
 
-def format_gate(ids: Column, registry: list[str]) -> tuple[Column, Column]:
+def format_gate(ids: Column, registry: list) -> tuple[Column, Column]:
     """Accepted ids (upper case, right form, in the registry by id or root, distinct in order) and issues."""
     upper = F.transform(F.coalesce(ids, F.array().cast(NO_IDS)), lambda t: F.upper(text.strip(t)))
     right = lambda t: F.coalesce(t.rlike(fixed.TECHNIQUE), F.lit(False))
@@ -65,7 +65,7 @@ def consistency_gate(accepted: Column, candidates: Column, present: Column) -> C
     Candidates are checked if no id was accepted.
     """
     ids = F.when(F.size(accepted) > 0, accepted).otherwise(candidates)
-    tactics = F.create_map(*[x for k, v in fixed.TECHNIQUE_TACTICS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
+    tactics = text.technique_tactics()
     odd = F.filter(ids, lambda t: tactics[text.root(t)].isNotNull() & ~F.arrays_overlap(tactics[text.root(t)], present))
     return F.transform(odd, lambda t: _issue("consistency", "warning", F.lit("no word of its tactics in the summary"), t))
 
@@ -80,7 +80,7 @@ def validate(df: DataFrame, ids: str, summary: str, registry: list[str], *, fall
     """Adds `accepted`, `issues`, `issue_count` and `passed` (format, semantic and policy; consistency only advises)."""
     shown, told = F.col(ids), F.col(summary)
     proposed = F.coalesce(shown, F.array().cast(NO_IDS))
-    first, wrong = format_gate(shown, registry)
+    first, wrong = format_gate(shown, [F.lit(t) for t in registry])  # each literal made once
     step = df.withColumn("_format", first).withColumn("_wrong", wrong)
     kept, dropped, removed = semantic_gate(F.col("_format"), told)
     step = step.withColumn("_kept", kept).withColumn("_dropped", dropped).withColumn("_removed", removed)
